@@ -1,0 +1,259 @@
+"""The ten input tables, derived from one raw ``events`` log.
+
+A user is registered by their first ``signup`` event and every table holds the
+events from that moment on.  All rules are column expressions; rows are only
+joined to the user's registration, see ``events_since_signup``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from dayzero.constants import COUNTRIES, DEFAULT_CHANNEL, NO_PAYLOAD, NOT_ENTERED
+from dayzero.functions import days_between
+from dayzero.operators.skew import SLICE_ROWS, join_per_key
+from dayzero.sources.tables import Tables
+
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+CLEARED = "tutorial clear"
+PARTNER_LOGIN = "partner/login"
+
+
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def tables_from_events(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Tables:
+    users = users_of(events)
+    registered = users.filter(F.col("reg_ts").isNotNull())
+    kept = events_since_signup(events, users, slice_rows)
+    max_campaign = _f_max_campaign(kept)
+    return Tables(
+        adjust_conversion=_adjust_conversion(registered),
+        common_register=_common_register(registered),
+        common_login=_common_login(kept),
+        common_installed=_common_installed(events),
+        common_gamemoney=_common_gamemoney(kept),
+        pve_campaign_result=_pve_campaign_result(kept),
+        f_max_campaign=max_campaign,
+        f_pve_campaign_result=_f_pve_campaign_result(kept),
+        f_user_map=_f_user_map(kept),
+        dim_osv_temp=_dim_osv_temp(events),
+    )
+
+
+def users_of(events: DataFrame) -> DataFrame:
+    """Per user: first signup (NULL if none) and number of events."""
+    return events.groupBy("user_id").agg(
+        F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("reg_ts"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
+def events_since_signup(
+    events: DataFrame, users: DataFrame, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Events of registered users from their signup on, with the signup time.
+
+    One user may own a large part of the log, so users with many events are
+    spread over several join slices.
+    """
+    joined = join_per_key(
+        events,
+        users.filter(F.col("reg_ts").isNotNull()),
+        key="user_id",
+        row_id="event_id",
+        n_rows="n_rows",
+        slice_rows=slice_rows,
+    )
+    return joined.filter(F.col("ts") >= F.col("reg_ts"))
+
+
+def _every(divisor: int, name: str) -> Column:
+    return F.col(name) % divisor == 0
+
+
+def _k() -> Column:
+    return F.regexp_extract("props", r"(\d+)", 1).cast("long")
+
+
+def _stage() -> Column:
+    return F.lit(11001) + (_k() % 8) * 200
+
+
+def _millis() -> Column:
+    return F.floor(F.col("value") * 10000)
+
+
+def _is(*event_types: str) -> Column:
+    return F.col("event_type").isin(*event_types)
+
+
+def _device() -> list[Column]:
+    return [
+        F.concat(F.lit("DM"), F.col("user_id") % 7).alias("dm"),
+        F.concat(F.lit("OS"), F.col("user_id") % 3).alias("osv"),
+    ]
+
+
+def _days() -> list[Column]:
+    return [
+        F.col("user_id").alias("nid"),
+        F.to_date("reg_ts").alias("reg_datekey"),
+        F.to_date("ts").alias("datekey"),
+    ]
+
+
+def _network() -> Column:
+    """By user number; the fifth is spelled like the default channel."""
+    names = ["Organic", "Facebook Installs", "Google Organic Search"]
+    names += [DEFAULT_CHANNEL, "QooApp"]
+    listed = F.array(F.lit(None), *[F.lit(name) for name in names])
+    return F.get(listed, (F.col("user_id") % 6).cast("int"))
+
+
+def _country() -> Column:
+    listed = F.array(*[F.lit(name) for name in (*COUNTRIES, "JP", None)])
+    return F.get(listed, (F.col("user_id") % 11).cast("int"))
+
+
+def _common_register(registered: DataFrame) -> DataFrame:
+    """Some users are logged twice."""
+    copies = F.when(_every(50, "user_id"), 2).otherwise(1)
+    return registered.select(
+        F.col("user_id").alias("nid"),
+        F.col("reg_ts").alias("_i_t"),
+        *_device(),
+        F.explode(F.sequence(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def _common_login(kept: DataFrame) -> DataFrame:
+    return kept.filter(_is("click", "view")).select(
+        F.col("event_id").alias("_id"),
+        F.col("user_id").alias("nid"),
+        F.col("ts").alias("_i_t"),
+        F.when(~_every(13, "event_id"), _millis()).alias("loading_time_ms"),
+        *_device(),
+    )
+
+
+def _common_installed(events: DataFrame) -> DataFrame:
+    model, version = _device()
+    return events.filter(_is("signup")).select(
+        F.col("event_id").alias("_id"),
+        F.col("ts").alias("_i_t"),
+        F.when(~_every(17, "event_id"), model).alias("dm"),
+        version,
+    )
+
+
+def _common_gamemoney(kept: DataFrame) -> DataFrame:
+    payload = F.concat(F.lit("v,"), _millis(), F.lit(";"), _k())
+    return kept.select(
+        F.col("user_id").alias("nid"),
+        F.col("ts").alias("_i_t"),
+        F.when(_is("click"), "session/login")
+        .when(_is("view"), PARTNER_LOGIN)
+        .otherwise("other")
+        .alias("rsn"),
+        F.when(_every(11, "event_id"), NO_PAYLOAD).otherwise(payload).alias("add_rsn"),
+    )
+
+
+def _pve_campaign_result(kept: DataFrame) -> DataFrame:
+    """The earliest play of each user and stage is its first clear.  Finding
+    it is an aggregate and marking it a join on the event number, so no task
+    has to hold all plays of a user."""
+    plays = kept.filter(_is("purchase")).select(
+        "event_id", "ts", F.col("user_id").alias("nid"), _stage().alias("id_campaign")
+    )
+    firsts = (
+        plays.groupBy("nid", "id_campaign")
+        .agg(F.min(F.struct("ts", "event_id")).alias("first"))
+        .select(F.col("first.event_id").alias("event_id"), F.lit(1).alias("cleared"))
+    )
+    return plays.join(firsts, "event_id", "left").select(
+        "nid",
+        F.col("ts").alias("_i_t"),
+        F.struct("id_campaign").alias("campaign_data"),
+        F.coalesce("cleared", F.lit(0)).alias("first_clear"),
+    )
+
+
+def _f_max_campaign(kept: DataFrame) -> DataFrame:
+    """Per active day of a user: the highest stage played up to that day.  The
+    window sees one row per user and day, never the raw events."""
+    daily = kept.groupBy(*_days()).agg(
+        F.max(F.when(_is("purchase"), _stage())).alias("stage")
+    )
+    so_far = W.partitionBy("nid").orderBy("datekey").rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    reached = daily.withColumn(
+        "id_campaign", F.coalesce(F.max("stage").over(so_far), F.lit(0))
+    )
+    return reached.select(
+        "nid",
+        "reg_datekey",
+        "datekey",
+        "id_campaign",
+        F.when(F.col("id_campaign") == 0, NOT_ENTERED)
+        .otherwise(CLEARED)
+        .alias("last_tutorial"),
+    )
+
+
+def _f_pve_campaign_result(kept: DataFrame) -> DataFrame:
+    return kept.filter(_is("purchase")).select(
+        *_days(),
+        F.when(~_every(19, "event_id"), _stage()).alias("id_campaign"),
+    )
+
+
+def _f_user_map(kept: DataFrame) -> DataFrame:
+    daily = kept.groupBy("user_id", *_days()).agg(
+        F.sum(F.when(_is("purchase"), F.col("value"))).alias("daily_revenue")
+    )
+    return daily.select(
+        "nid",
+        "reg_datekey",
+        "datekey",
+        days_between("reg_datekey", "datekey").alias("date_diff_reg"),
+        _network().alias("network_name"),
+        _country().alias("reg_country"),
+        F.when(F.col("datekey") == F.col("reg_datekey"), 1).otherwise(0).alias("nru"),
+        "daily_revenue",
+    )
+
+
+def _adjust_conversion(registered: DataFrame) -> DataFrame:
+    """One conversion per user, or two channels, or (one user in five) none."""
+    second = F.when(_every(9, "user_id"), F.array(_network(), F.lit("Brandpage")))
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01"))
+    return registered.filter(~_every(5, "user_id")).select(
+        F.col("user_id").alias("nid"),
+        F.explode(second.otherwise(F.array(_network()))).alias("network_name"),
+        F.timestamp_diff("SECOND", epoch, F.col("reg_ts"))
+        .cast("string")
+        .alias("created_at"),
+    )
+
+
+def _dim_osv_temp(events: DataFrame) -> DataFrame:
+    return events.select(*_device(), (F.col("user_id") % 7 % 4).alias("m")).distinct().select(
+        F.concat(F.lit("MODEL"), F.col("m")).alias("model"), "dm", "osv"
+    )

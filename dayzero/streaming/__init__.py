@@ -1,0 +1,2 @@
+"""Every input of the reports is a bounded table, so there is no streaming
+operator to build here; the package marks the place for one."""
