@@ -16,6 +16,13 @@ def _strings(values) -> str:
     return ", ".join(f"'{value}'" for value in values)
 
 
+# Progress rows of the registration day, shared by most queries.
+FIRST_DAY = """first_day AS (
+  SELECT *, id_campaign > 0 AS played, last_tutorial = 'tutorial not enter' AS loose,
+         last_tutorial = 'tutorial not enter' AND id_campaign = 0 AS strict
+  FROM f_max_campaign WHERE datekey = reg_datekey
+)"""
+
 # The ten tables, from the raw event log.
 TABLES = f"""
 WITH signups AS (
@@ -82,11 +89,7 @@ WITH signups AS (
   SELECT DISTINCT 'MODEL' || (user_id % 7 % 4) AS model, 'DM' || (user_id % 7) AS dm,
          'OS' || (user_id % 3) AS osv
   FROM events
-), first_day AS (
-  SELECT *, id_campaign > 0 AS played, last_tutorial = 'tutorial not enter' AS loose,
-         last_tutorial = 'tutorial not enter' AND id_campaign = 0 AS strict
-  FROM f_max_campaign WHERE datekey = reg_datekey
-)"""
+), {FIRST_DAY}"""
 
 ON_TIME = "minute(_i_t) <= 54"
 
@@ -239,7 +242,7 @@ HAVING count(*) FILTER (grp = 'up') > 0"""
 
 RATIO = """
 SELECT network_name, idle AS "not_play_UU", players AS "play_UU",
-       round(idle / (players + idle), 4) AS ratio"""
+       round(idle / (players + idle), 6) AS ratio"""
 
 ON_TABLES["q08_channel_ratio_window"] = f"""
 , in_window AS (
@@ -305,8 +308,8 @@ def _revenue(window: str, spelling: str, days: str, paid: str) -> str:
         GROUP BY ALL) AS m USING (nid)
   GROUP BY b.network_name
 )
-SELECT c.network_name, round(i.per_user, 4) AS not_play_revenue,
-       round(p.per_user, 4) AS play_revenue
+SELECT c.network_name, round(i.per_user, 6) AS not_play_revenue,
+       round(p.per_user, 6) AS play_revenue
 FROM channels AS c LEFT JOIN idle AS i USING (network_name) LEFT JOIN players AS p USING (network_name)"""
 
 
@@ -341,7 +344,7 @@ def _cumulative(horizon: int, channels, default: str, where: str = "true") -> st
 SELECT date_diff_reg::BIGINT AS date_diff_reg, network_name,
        round(sum(amount) OVER (PARTITION BY network_name
              ORDER BY date_diff_reg, amount NULLS FIRST
-             ROWS UNBOUNDED PRECEDING), 4) AS daily_revenue
+             ROWS UNBOUNDED PRECEDING), 6) AS daily_revenue
 FROM cells LEFT JOIN named USING (date_diff_reg, network_name)"""
 
 
@@ -360,7 +363,7 @@ def _transitions(cohort: str, n: int) -> str:
     return f"""
 , ordered AS (
   SELECT f.nid, f.id_campaign,
-         row_number() OVER (PARTITION BY f.nid ORDER BY f.id_campaign) AS place
+         row_number() OVER (PARTITION BY f.nid ORDER BY f.id_campaign NULLS FIRST) AS place
   FROM f_max_campaign AS f JOIN ({cohort}) AS c USING (nid) WHERE f.reg_datekey <= {REG_TO}
 ), steps AS (
   SELECT nid, place, if(id_campaign > 12000, '2월드', id_campaign::VARCHAR) AS diff_0,
@@ -391,8 +394,8 @@ waits AS (
             AND f.datekey > c.reg_datekey) - reg_datekey AS wait
   FROM cohort AS c
 )
-SELECT reg_datekey, count(*) AS not_play_UU, nullif(count(wait), 0) AS play_UU,
-       round(avg(wait), 4) AS avg_diff, max(wait)::BIGINT AS avg_diff_max
+SELECT reg_datekey, count(nid) AS not_play_UU, nullif(count(wait), 0) AS play_UU,
+       round(avg(wait), 6) AS avg_diff, max(wait)::BIGINT AS avg_diff_max
 FROM waits GROUP BY reg_datekey"""
 
 ON_TABLES["q18_return_depth"] = f"""
@@ -405,7 +408,7 @@ reached AS (
 )
 SELECT reg_datekey, if(low > 12000, '2월드 진입', low::VARCHAR) AS id_campaign,
        if(high > 12000, '2월드 진입', high::VARCHAR) AS id_campaign_max, size AS not_play_UU, UU
-FROM (SELECT reg_datekey, count(*) AS size FROM cohort GROUP BY ALL)
+FROM (SELECT reg_datekey, count(nid) AS size FROM cohort GROUP BY ALL)
 LEFT JOIN (SELECT reg_datekey, low, high, count(*) AS UU FROM reached GROUP BY ALL)
   USING (reg_datekey)"""
 
@@ -468,7 +471,7 @@ SELECT reg_datekey, nid, datekey FROM f_max_campaign
 WHERE id_campaign > 0 AND datekey - reg_datekey BETWEEN 1 AND 10 AND reg_datekey <= {REG_TO}
 QUALIFY datekey = min(datekey) OVER (PARTITION BY reg_datekey, nid)"""
 ON_TABLES["k05_nested_split"] = """
-SELECT nid, rsn, count(a) AS n_times, round(sum(a / 1000), 4) AS time_sum, sum(b)::BIGINT AS tail_sum
+SELECT nid, rsn, count(a) AS n_times, round(sum(a / 1000), 6) AS time_sum, sum(b)::BIGINT AS tail_sum
 FROM (SELECT nid, rsn, TRY_CAST(split_part(split_part(add_rsn, ',', 2), ';', 1) AS BIGINT) AS a,
              TRY_CAST(split_part(add_rsn, ';', 2) AS BIGINT) AS b FROM common_gamemoney)
 GROUP BY nid, rsn"""
@@ -489,7 +492,7 @@ SELECT campaign_data.id_campaign AS id_campaign, first_clear::BIGINT AS first_cl
        count(*) AS plays, count(DISTINCT nid) AS UU
 FROM pve_campaign_result GROUP BY 1, 2"""
 ON_TABLES["j_inner_composite"] = """
-SELECT f.id_campaign, count(*) AS days, round(sum(m.daily_revenue), 4) AS daily_revenue
+SELECT f.id_campaign, count(*) AS days, round(sum(m.daily_revenue), 6) AS daily_revenue
 FROM f_max_campaign AS f JOIN f_user_map AS m ON f.nid = m.nid AND f.datekey = m.datekey
 WHERE f.id_campaign > 0 AND m.daily_revenue > 50 GROUP BY f.id_campaign"""
 ON_TABLES["j_left_composite"] = """
@@ -517,7 +520,7 @@ for _name, _columns in {
     "f_max_campaign": "nid, reg_datekey, datekey, id_campaign, last_tutorial",
     "f_pve_campaign_result": "nid, reg_datekey, datekey, id_campaign",
     "f_user_map": "nid, reg_datekey, datekey, date_diff_reg, network_name, reg_country, nru, "
-    "round(daily_revenue, 4) AS daily_revenue",
+    "round(daily_revenue, 6) AS daily_revenue",
     "dim_osv_temp": "model, dm, osv",
 }.items():
     ON_TABLES[f"src_{_name}"] = f"\nSELECT {_columns} FROM {_name}"
@@ -526,7 +529,7 @@ for _name, _columns in {
 # SQL on the plain tables.
 PLAIN: dict[str, str] = {
     "k04_densify": """
-SELECT s.s_suppkey AS l_suppkey, m.month AS ship_month, round(sum(l.l_quantity), 4) AS quantity
+SELECT s.s_suppkey AS l_suppkey, m.month AS ship_month, round(sum(l.l_quantity), 6) AS quantity
 FROM supplier AS s CROSS JOIN range(1, 13) AS m(month)
 LEFT JOIN lineitem AS l
   ON l.l_suppkey = s.s_suppkey AND month(l.l_shipdate) = m.month AND l.l_returnflag = 'N'
@@ -535,7 +538,7 @@ GROUP BY 1, 2""",
 SELECT CASE WHEN l_discount = 0 OR l_extendedprice >= 50000 THEN 'rest'
             WHEN l_extendedprice >= 20000 THEN 'high'
             WHEN l_extendedprice >= 5000 THEN 'mid' ELSE 'low' END AS bucket,
-       count(*) AS n, round(sum(l_quantity), 4) AS quantity
+       count(*) AS n, round(sum(l_quantity), 6) AS quantity
 FROM lineitem GROUP BY 1""",
     "k08_transition_matrix": """
 WITH lines AS (
@@ -552,24 +555,24 @@ SELECT n_nationkey::BIGINT AS n_nationkey, n_name,
        nullif((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000), 0)
          AS customers,
        round((SELECT avg(c_acctbal) FROM customer
-              WHERE c_nationkey = n_nationkey AND c_acctbal > 9000), 4) AS mean_balance,
+              WHERE c_nationkey = n_nationkey AND c_acctbal > 9000), 6) AS mean_balance,
        nullif((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000), 0)
          AS suppliers
 FROM nation""",
     "k10_snapshot_as_of": """
 SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
-       round(max_by(o_totalprice, (o_orderdate, o_orderkey)), 4) AS o_totalprice,
+       round(max_by(o_totalprice, (o_orderdate, o_orderkey)), 6) AS o_totalprice,
        max(o_orderdate)::DATE AS day
 FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY o_custkey""",
     "k11_first_event": """
-SELECT o_custkey, o_orderkey, round(o_totalprice, 4) AS o_totalprice, o_orderstatus
+SELECT o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""",
     "s_series": """
 SELECT month::BIGINT AS month, nullif(count(o_orderkey), 0) AS orders
 FROM generate_series(0, 14) AS s(month) LEFT JOIN orders ON month(o_orderdate) = month
 GROUP BY month""",
     "p_predicates": """
-SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity,
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS quantity,
        min(l_shipdate)::DATE AS first_day
 FROM lineitem
 WHERE year(l_shipdate) IN (1996, 1997) AND NOT l_shipdate::DATE = DATE '1997-05-05'
@@ -597,21 +600,21 @@ LEFT JOIN customer ON c_nationkey = k AND c_mktsegment = s
 GROUP BY ALL""",
     "a_distinct_multi": """
 SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS suppliers,
-       count(DISTINCT l_partkey) AS parts, round(avg(l_quantity), 4) AS mean_quantity,
-       round(max(l_extendedprice), 4) AS top_price
+       count(DISTINCT l_partkey) AS parts, round(avg(l_quantity), 6) AS mean_quantity,
+       round(max(l_extendedprice), 6) AS top_price
 FROM lineitem GROUP BY ALL""",
     "a_conditional_distinct": """
 SELECT l_suppkey, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS returned_parts
 FROM lineitem GROUP BY l_suppkey""",
     "a_having_hidden": """
-SELECT o_custkey, round(sum(o_totalprice), 4) AS spent FROM orders GROUP BY o_custkey
+SELECT o_custkey, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY o_custkey
 HAVING count(DISTINCT o_orderpriority) = 5""",
     "w_running_sum": """
 WITH monthly AS (
   SELECT o_orderpriority, strftime(o_orderdate, '%Y%m')::BIGINT AS month, sum(o_totalprice) AS total
   FROM orders GROUP BY ALL
 )
-SELECT a.o_orderpriority, a.month, round(sum(b.total), 4) AS running
+SELECT a.o_orderpriority, a.month, round(sum(b.total), 2) AS running
 FROM monthly AS a JOIN monthly AS b ON a.o_orderpriority = b.o_orderpriority AND b.month <= a.month
 GROUP BY ALL""",
     "w_row_number_nth": """
@@ -643,7 +646,7 @@ SELECT if(o_orderstatus = 'F', 'done', if(o_totalprice > 200000, 'large', NULL))
        count(*) AS n
 FROM orders GROUP BY ALL""",
     "f_division": """
-SELECT l_suppkey, round(r / nullif(n - r, 0), 4) AS odds, round(r / n, 4) AS share, r + n AS both
+SELECT l_suppkey, round(r / nullif(n - r, 0), 6) AS odds, round(r / n, 6) AS share, r + n AS both
 FROM (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r
       FROM lineitem GROUP BY l_suppkey)""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +65,14 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Integers as BIGINT and doubles with four digits, as the oracle has them."""
+    """Integers as BIGINT and doubles with six digits, as the oracle has them."""
     columns = []
     for field in df.schema:
         column = F.col(field.name)
         if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             column = column.cast("long")
         elif isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, 4)
+            column = F.round(column, 6)
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
@@ -79,63 +80,60 @@ def comparable(df: DataFrame) -> DataFrame:
 # --- the reports -------------------------------------------------------------
 
 
-def _report(build: Callable[..., DataFrame], **arguments) -> Query:
-    return lambda spark, sf_dir: build(load(spark, sf_dir), **arguments)
-
-
-REPORTS: dict[str, Query] = {
-    "q01_daily_count_as_of": _report(
+# Name -> the report with its arguments, still to be given the tables.
+REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
+    "q01_daily_count_as_of": partial(
         plans.daily_count_as_of,
         first=dt.date(2024, 1, 2),
         last=dt.date(2024, 1, 10),
         as_of=dt.datetime(2024, 1, 8, 12),
     ),
-    "q02_register_time_distribution": _report(
+    "q02_register_time_distribution": partial(
         plans.register_time_distribution, reg_to=REG_TO, before=BEFORE
     ),
-    "q03_minutes_to_stage_clear": _report(
+    "q03_minutes_to_stage_clear": partial(
         plans.minutes_to_stage_clear, before=BEFORE, cap=600
     ),
-    "q04_return_curve": _report(plans.return_curve_report, reg_to=REG_TO, horizon=20),
-    "q05_two_day_matrix_played": _report(plans.two_days_played, reg_to=REG_TO),
-    "q06_two_day_matrix_not_entered": _report(plans.two_days_not_entered, reg_to=REG_TO),
-    "q07_loading_time_engagement": _report(
+    "q04_return_curve": partial(plans.return_curve_report, reg_to=REG_TO, horizon=20),
+    "q05_two_day_matrix_played": partial(plans.two_days_played, reg_to=REG_TO),
+    "q06_two_day_matrix_not_entered": partial(plans.two_days_not_entered, reg_to=REG_TO),
+    "q07_loading_time_engagement": partial(
         plans.loading_time_engagement,
         reg_from=REG_FROM,
         reg_to=REG_TO,
         before=BEFORE,
         reasons=REASONS,
     ),
-    "q08_channel_ratio_window": _report(
+    "q08_channel_ratio_window": partial(
         plans.channel_ratio_window, reg_from=REG_FROM, reg_to=REG_TO
     ),
-    "q09_channel_ratio_all": _report(plans.channel_ratio),
-    "q10_channel_revenue_window": _report(
+    "q09_channel_ratio_all": partial(plans.channel_ratio),
+    "q10_channel_revenue_window": partial(
         plans.channel_revenue_window, first=REG_FROM, last=REG_TO, before=BEFORE
     ),
-    "q11_channel_revenue_all": _report(plans.channel_revenue),
-    "q12_weekly_not_entered": _report(plans.weekly_not_entered),
-    "q13_cumulative_revenue": _report(plans.revenue_by_age),
-    "q14_cumulative_revenue_recent": _report(
+    "q11_channel_revenue_all": partial(plans.channel_revenue),
+    "q12_weekly_not_entered": partial(plans.weekly_not_entered),
+    "q13_cumulative_revenue": partial(plans.revenue_by_age),
+    "q14_cumulative_revenue_recent": partial(
         plans.revenue_by_age, horizon=20, min_reg="2024-01-03"
     ),
-    "q15_transition_played": _report(plans.stage_transitions_played, reg_to=REG_TO),
-    "q16_transition_not_entered": _report(
+    "q15_transition_played": partial(plans.stage_transitions_played, reg_to=REG_TO),
+    "q16_transition_not_entered": partial(
         plans.stage_transitions_not_entered, reg_to=REG_TO
     ),
-    "q17_return_stats": _report(plans.return_stats_report, reg_to=REG_TO),
-    "q18_return_depth": _report(plans.return_depth_report, reg_to=REG_TO),
-    "q19_country_month": _report(plans.country_month),
-    "q20_loading_country_not_entered": _report(
+    "q17_return_stats": partial(plans.return_stats_report, reg_to=REG_TO),
+    "q18_return_depth": partial(plans.return_depth_report, reg_to=REG_TO),
+    "q19_country_month": partial(plans.country_month),
+    "q20_loading_country_not_entered": partial(
         plans.first_login_loading, kind="loose", reg_from=REG_FROM
     ),
-    "q21_loading_country_played": _report(
+    "q21_loading_country_played": partial(
         plans.first_login_loading, kind="played", reg_from=REG_FROM
     ),
-    "q22_loading_played": _report(
+    "q22_loading_played": partial(
         plans.first_login_loading, kind="played", reg_from=REG_FROM, countries=None
     ),
-    "q23_device_funnel": _report(plans.install_to_login, before=BEFORE),
+    "q23_device_funnel": partial(plans.install_to_login, before=BEFORE),
 }
 
 
@@ -425,7 +423,7 @@ def a_having_hidden(spark, sf_dir):
         raw(spark, sf_dir, "orders")
         .groupBy("o_custkey")
         .agg(
-            F.sum("o_totalprice").alias("spent"),
+            F.round(F.sum("o_totalprice"), 2).alias("spent"),
             F.count_distinct("o_orderpriority").alias("priorities"),
         )
         .filter(F.col("priorities") > 4)
@@ -454,7 +452,7 @@ def w_running_sum(spark, sf_dir):
         .agg(F.sum("o_totalprice").alias("total"))
     )
     running = ops.running_total("total", ["o_orderpriority"], ["month"])
-    return monthly.select("o_orderpriority", "month", running.alias("running"))
+    return monthly.select("o_orderpriority", "month", F.round(running, 2).alias("running"))
 
 
 def w_row_number_nth(spark, sf_dir):
@@ -625,5 +623,9 @@ def queries() -> dict[str, Query]:
     def finished(build: Query) -> Query:
         return lambda spark, sf_dir: comparable(build(spark, sf_dir))
 
-    everything = {**REPORTS, **OPERATORS, **SOURCES}
+    def on_tables(report: Callable[[Tables], DataFrame]) -> Query:
+        return lambda spark, sf_dir: report(load(spark, sf_dir))
+
+    reports = {name: on_tables(report) for name, report in REPORTS.items()}
+    everything = {**reports, **OPERATORS, **SOURCES}
     return {name: finished(build) for name, build in everything.items()}

@@ -4,9 +4,11 @@ from dayzero.functions.dates import (
     as_date,
     as_timestamp,
     date_range,
+    days_after,
     days_between,
     epoch_to_date,
     minutes_between,
+    next_midnight,
     time_range,
     usable_minutes,
     week_of_year,
@@ -19,11 +21,13 @@ __all__ = [
     "as_timestamp",
     "bucketize",
     "date_range",
+    "days_after",
     "days_between",
     "epoch_to_date",
     "minutes_between",
     "minutes_label",
     "nested_split",
+    "next_midnight",
     "stage_label",
     "time_range",
     "usable_minutes",

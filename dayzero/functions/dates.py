@@ -23,6 +23,16 @@ def as_timestamp(value: TimeLike) -> Column:
     return F.to_timestamp_ntz(F.lit(str(value)))
 
 
+def days_after(value: DateLike, days: int) -> dt.date:
+    return dt.date.fromisoformat(str(value)[:10]) + dt.timedelta(days=days)
+
+
+def next_midnight(value: TimeLike) -> dt.date:
+    """The end of the last day that starts before ``value``."""
+    moment = dt.datetime.fromisoformat(str(value))
+    return moment.date() + dt.timedelta(days=moment.time() > dt.time())
+
+
 def date_range(
     column: str, first: DateLike | None = None, last: DateLike | None = None
 ) -> Column:

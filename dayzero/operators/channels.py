@@ -42,15 +42,15 @@ def attribute(
             F.count_distinct(minute_of_day).alias("clocks"),
         )
     )
-    channels = (
-        conversions.select("nid", "network_name")
-        .distinct()
-        .groupBy("nid", channel(default).alias("network_name"))
-        .agg(F.count(F.lit(1)).alias("spellings"))
+    unnamed = F.col("network_name").isNull()
+    channels = conversions.groupBy("nid", channel(default).alias("channel")).agg(
+        (F.bool_or(unnamed).cast("int") + F.bool_or(~unnamed).cast("int")).alias(
+            "spellings"
+        )
     )
     return users.join(channels, "nid", "left").select(
         "nid",
-        channel(default).alias("network_name"),
+        F.coalesce("channel", F.lit(default)).alias("network_name"),
         "registrations",
         "clocks",
         F.coalesce("spellings", F.lit(1)).alias("spellings"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dayzero.constants import RETURN_HORIZON
-from dayzero.functions.dates import DateLike, date_range, days_between
+from dayzero.functions.dates import DateLike, date_range, days_after, days_between
 from dayzero.functions.labels import stage_label
 from dayzero.operators.cohorts import in_cohort
 from dayzero.operators.grid import running_total
@@ -22,11 +22,20 @@ def _returned(max_days: int | None) -> Column:
     return later
 
 
+def _in_reach(reg_to: DateLike | None, max_days: int | None) -> Column:
+    """Registration limit, and the latest day that can matter under it.  The
+    second follows from the first but prunes files or partitions by day."""
+    reach = date_range("reg_datekey", None, reg_to)
+    if reg_to is not None and max_days is not None:
+        reach = reach & date_range("datekey", None, days_after(reg_to, max_days))
+    return reach
+
+
 def first_return(
     progress: DataFrame, reg_to: DateLike | None = None, max_days: int | None = None
 ) -> DataFrame:
     """First later day with a stage, per registration day and user."""
-    rows = progress.filter(_returned(max_days) & date_range("reg_datekey", None, reg_to))
+    rows = progress.filter(_returned(max_days) & _in_reach(reg_to, max_days))
     return rows.groupBy("reg_datekey", "nid").agg(F.min("datekey").alias("datekey"))
 
 
@@ -43,7 +52,7 @@ def cohort_returns(
     """
     member = in_cohort(kind)
     back = _returned(max_days) & F.col("nid").isNotNull()
-    rows = progress.filter((member | back) & date_range("reg_datekey", None, reg_to))
+    rows = progress.filter((member | back) & _in_reach(reg_to, max_days))
     users = rows.groupBy("reg_datekey", "nid").agg(
         F.bool_or(member).alias("member"),
         F.min(F.when(back, F.col("datekey"))).alias("first_day"),

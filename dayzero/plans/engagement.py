@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dayzero.constants import LATE_ENTRY_DAYS, LOGIN_REASONS, STAGE_CAP
-from dayzero.functions import date_range, days_between, stage_label, usable_minutes
+from dayzero.functions import (
+    date_range,
+    days_after,
+    days_between,
+    stage_label,
+    time_range,
+    usable_minutes,
+)
 from dayzero.functions.dates import DateLike, TimeLike
 from dayzero.operators import (
     consecutive_day_counts,
@@ -98,7 +105,10 @@ def loading_time_engagement(
     is read once: all four groups are flags of one user row.
     """
     groups = _engagement_groups(tables.f_max_campaign, reg_from, reg_to, late_days)
-    loading = login_loading(tables.common_gamemoney, before, reasons, strict)
+    # Only logins of a registration day can match.
+    in_window = time_range("_i_t", reg_from, days_after(reg_to, 1))
+    money_log = tables.common_gamemoney.filter(in_window)
+    loading = login_loading(money_log, before, reasons, strict)
     counts = (
         loading.join(groups, ["nid", "reg_datekey"])
         .groupBy("reg_datekey", "avg_loading_time")
@@ -128,8 +138,11 @@ def _engagement_groups(
     played = in_cohort("played")
     in_time = offset <= late_days
     next_day = (offset == 1) & (stage > 0)
+    longest = max(late_days, 1)
     users = (
         progress.filter(date_range("reg_datekey", reg_from, reg_to))
+        .filter(offset <= longest)
+        .filter(date_range("datekey", None, days_after(reg_to, longest)))
         .groupBy("nid", "reg_datekey")
         .agg(
             F.bool_or(in_cohort("strict")).alias("idle"),

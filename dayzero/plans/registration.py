@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayzero.constants import FIRST_STAGE, MINUTE_CAP
-from dayzero.functions import as_timestamp, epoch_to_date, time_range
+from dayzero.functions import epoch_to_date, next_midnight, time_range
 from dayzero.functions.dates import DateLike, TimeLike
 from dayzero.operators import day0_cohort, minutes_between_hist
 from dayzero.sources.snapshot import snapshot_as_of
@@ -56,7 +56,7 @@ def register_time_distribution(
 ) -> DataFrame:
     """Hour and minute at which users who did not enter had registered."""
     clocks = (
-        tables.common_register.filter(F.col("_i_t") < as_timestamp(before))
+        tables.common_register.filter(time_range("_i_t", None, before))
         .select("nid", F.hour("_i_t").alias("Hour"), F.minute("_i_t").alias("min"))
         .distinct()
     )
@@ -77,7 +77,9 @@ def minutes_to_stage_clear(
 ) -> DataFrame:
     """Minutes from registration to the first clear of ``stage`` that day."""
     cleared = tables.pve_campaign_result.filter(
-        (F.col("campaign_data.id_campaign") == stage) & (F.col("first_clear") == 1)
+        (F.col("campaign_data.id_campaign") == stage)
+        & (F.col("first_clear") == 1)
+        & time_range("_i_t", None, next_midnight(before))
     )
     registered = tables.common_register.filter(time_range("_i_t", None, before))
     return minutes_between_hist(registered, cleared, cap)

@@ -40,19 +40,24 @@ def tables_from_events(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Table
     users = users_of(events)
     registered = users.filter(F.col("reg_ts").isNotNull())
     kept = events_since_signup(events, users, slice_rows)
-    max_campaign = _f_max_campaign(kept)
-    return Tables(
-        adjust_conversion=_adjust_conversion(registered),
-        common_register=_common_register(registered),
-        common_login=_common_login(kept),
-        common_installed=_common_installed(events),
-        common_gamemoney=_common_gamemoney(kept),
-        pve_campaign_result=_pve_campaign_result(kept),
-        f_max_campaign=max_campaign,
-        f_pve_campaign_result=_f_pve_campaign_result(kept),
-        f_user_map=_f_user_map(kept),
-        dim_osv_temp=_dim_osv_temp(events),
-    )
+    rules = {
+        "adjust_conversion": (_adjust_conversion, registered),
+        "common_register": (_common_register, registered),
+        "common_login": (_common_login, kept),
+        "common_installed": (_common_installed, events),
+        "common_gamemoney": (_common_gamemoney, kept),
+        "pve_campaign_result": (_pve_campaign_result, kept),
+        "f_max_campaign": (_f_max_campaign, kept),
+        "f_pve_campaign_result": (_f_pve_campaign_result, kept),
+        "f_user_map": (_f_user_map, kept),
+        "dim_osv_temp": (_dim_osv_temp, events),
+    }
+
+    def open_table(name: str) -> DataFrame:
+        rule, source = rules[name]
+        return rule(source)
+
+    return Tables(open_table)
 
 
 def users_of(events: DataFrame) -> DataFrame:
@@ -254,6 +259,5 @@ def _adjust_conversion(registered: DataFrame) -> DataFrame:
 
 
 def _dim_osv_temp(events: DataFrame) -> DataFrame:
-    return events.select(*_device(), (F.col("user_id") % 7 % 4).alias("m")).distinct().select(
-        F.concat(F.lit("MODEL"), F.col("m")).alias("model"), "dm", "osv"
-    )
+    model = F.concat(F.lit("MODEL"), F.col("user_id") % 7 % 4).alias("model")
+    return events.select(model, *_device()).distinct()

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dayzero.sources.schemas import LOGS, SCHEMAS
 
 
-@dataclass(frozen=True)
 class Tables:
+    """Opens a table when it is first used, by its name: ``tables.common_login``."""
+
     adjust_conversion: DataFrame
     common_register: DataFrame
     common_login: DataFrame
@@ -23,9 +23,19 @@ class Tables:
     f_user_map: DataFrame
     dim_osv_temp: DataFrame
 
-    @classmethod
-    def names(cls) -> tuple[str, ...]:
-        return tuple(field.name for field in fields(cls))
+    def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
+        self._open_table = open_table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = self._open_table(name)
+        setattr(self, name, table)
+        return table
+
+    @staticmethod
+    def names() -> tuple[str, ...]:
+        return tuple(SCHEMAS)
 
     @classmethod
     def from_files(
@@ -33,12 +43,9 @@ class Tables:
     ) -> Tables:
         """One file or folder per table below ``root``."""
         return cls(
-            **{
-                name: spark.read.schema(SCHEMAS[name])
-                .format(fmt)
-                .load(f"{root}/{name}{suffix}")
-                for name in cls.names()
-            }
+            lambda name: spark.read.schema(SCHEMAS[name])
+            .format(fmt)
+            .load(f"{root}/{name}{suffix}")
         )
 
     @classmethod
@@ -51,15 +58,13 @@ class Tables:
     ) -> Tables:
         """Catalog tables of two databases, one for the event logs and one for
         the marts; ``renamed`` gives full names for tables kept elsewhere."""
-        renamed = renamed or {}
-        return cls(
-            **{
-                name: spark.table(
-                    renamed.get(name, f"{logs if name in LOGS else marts}.{name}")
-                )
-                for name in cls.names()
-            }
-        )
+        names = {name: f"{logs if name in LOGS else marts}.{name}" for name in SCHEMAS}
+        names.update(renamed or {})
+        return cls(lambda name: spark.table(names[name]))
+
+    @classmethod
+    def from_frames(cls, frames: Mapping[str, DataFrame]) -> Tables:
+        return cls(frames.__getitem__)
 
     def register_views(self) -> None:
         """Offer the tables to ``spark.sql`` under their own names."""
