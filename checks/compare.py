@@ -50,8 +50,12 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
-    settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8"
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8",
+        "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false",
+    }
     spark = build_session("compare", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)

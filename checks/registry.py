@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +60,9 @@ def since_epoch(unit: str, column: str) -> Column:
     return F.timestamp_diff(unit, as_timestamp("1970-01-01"), F.col(column))
 
 
+@lru_cache(maxsize=4)
 def load(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder, opened once per session (plans, not data)."""
     return tables_from_events(read_events(spark, sf_dir))
 
 

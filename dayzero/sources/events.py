@@ -77,7 +77,8 @@ def events_since_signup(
     spread over several join slices.
     """
     joined = join_per_key(
-        events,
+        # The number is taken out of its text before the shuffle.
+        events.withColumn("k", _number("props")).drop("props"),
         users.filter(F.col("reg_ts").isNotNull()),
         key="user_id",
         row_id="event_id",
@@ -91,12 +92,12 @@ def _every(divisor: int, name: str) -> Column:
     return F.col(name) % divisor == 0
 
 
-def _k() -> Column:
-    return F.regexp_extract("props", r"(\d+)", 1).cast("long")
+def _number(text: str) -> Column:
+    return F.regexp_extract(text, r"(\d+)", 1).cast("long")
 
 
 def _stage() -> Column:
-    return F.lit(11001) + (_k() % 8) * 200
+    return F.lit(11001) + (F.col("k") % 8) * 200
 
 
 def _millis() -> Column:
@@ -167,7 +168,7 @@ def _common_installed(events: DataFrame) -> DataFrame:
 
 
 def _common_gamemoney(kept: DataFrame) -> DataFrame:
-    payload = F.concat(F.lit("v,"), _millis(), F.lit(";"), _k())
+    payload = F.concat(F.lit("v,"), _millis(), F.lit(";"), F.col("k"))
     return kept.select(
         F.col("user_id").alias("nid"),
         F.col("ts").alias("_i_t"),

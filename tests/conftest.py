@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         "spark.driver.memory": "4g",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.maxMetadataStringLength": "5000",
     }
     session = build_session("tests", "local[4]", **settings)
     session.sparkContext.setLogLevel("ERROR")
