@@ -2,7 +2,7 @@
 
 A user is registered by their first ``signup`` event and every table holds the
 events from that moment on.  All rules are column expressions; rows are only
-joined to the user's registration, see ``events_since_signup``.
+joined to the user's signup, see ``events_since_signup``.
 """
 
 from __future__ import annotations
@@ -37,48 +37,48 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_from_events(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Tables:
-    users = users_of(events)
-    registered = users.filter(F.col("reg_ts").isNotNull())
-    kept = events_since_signup(events, users, slice_rows)
+    # The number is taken out of its text before anything is shuffled.
+    events = events.withColumn("k", _number("props")).drop("props")
+    signups = signups_of(events)
+    kept = events_since_signup(events, slice_rows)
     rules = {
-        "adjust_conversion": (_adjust_conversion, registered),
-        "common_register": (_common_register, registered),
+        "adjust_conversion": (_adjust_conversion, signups),
+        "common_register": (_common_register, signups),
         "common_login": (_common_login, kept),
         "common_installed": (_common_installed, events),
         "common_gamemoney": (_common_gamemoney, kept),
         "pve_campaign_result": (_pve_campaign_result, kept),
-        "f_max_campaign": (_f_max_campaign, kept),
+        "f_max_campaign": (_f_max_campaign, events, signups),
         "f_pve_campaign_result": (_f_pve_campaign_result, kept),
         "f_user_map": (_f_user_map, kept),
         "dim_osv_temp": (_dim_osv_temp, events),
     }
 
     def open_table(name: str) -> DataFrame:
-        rule, source = rules[name]
-        return rule(source)
+        rule, *sources = rules[name]
+        return rule(*sources)
 
     return Tables(open_table)
 
 
-def users_of(events: DataFrame) -> DataFrame:
-    """Per user: first signup (NULL if none) and number of events."""
-    return events.groupBy("user_id").agg(
-        F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("reg_ts"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
+def signups_of(events: DataFrame) -> DataFrame:
+    """First signup of each registered user."""
+    signups = events.filter(_is("signup"))
+    return signups.groupBy("user_id").agg(F.min("ts").alias("reg_ts"))
 
 
-def events_since_signup(
-    events: DataFrame, users: DataFrame, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
+def events_since_signup(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Events of registered users from their signup on, with the signup time.
 
     One user may own a large part of the log, so users with many events are
     spread over several join slices.
     """
+    users = events.groupBy("user_id").agg(
+        F.min(F.when(_is("signup"), F.col("ts"))).alias("reg_ts"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
     joined = join_per_key(
-        # The number is taken out of its text before the shuffle.
-        events.withColumn("k", _number("props")).drop("props"),
+        events,
         users.filter(F.col("reg_ts").isNotNull()),
         key="user_id",
         row_id="event_id",
@@ -136,10 +136,10 @@ def _country() -> Column:
     return F.get(listed, (F.col("user_id") % 11).cast("int"))
 
 
-def _common_register(registered: DataFrame) -> DataFrame:
+def _common_register(signups: DataFrame) -> DataFrame:
     """Some users are logged twice."""
     copies = F.when(_every(50, "user_id"), 2).otherwise(1)
-    return registered.select(
+    return signups.select(
         F.col("user_id").alias("nid"),
         F.col("reg_ts").alias("_i_t"),
         *_device(),
@@ -200,11 +200,26 @@ def _pve_campaign_result(kept: DataFrame) -> DataFrame:
     )
 
 
-def _f_max_campaign(kept: DataFrame) -> DataFrame:
-    """Per active day of a user: the highest stage played up to that day.  The
-    window sees one row per user and day, never the raw events."""
-    daily = kept.groupBy(*_days()).agg(
-        F.max(F.when(_is("purchase"), _stage())).alias("stage")
+def _f_max_campaign(events: DataFrame, signups: DataFrame) -> DataFrame:
+    """Per active day of a user: the highest stage played up to that day.
+
+    A stage counts on a day if its last play there is not before the signup, so
+    the log is folded to users, days and stages before it meets the signups.
+    Join, day rows and window then share one shuffle by user.
+    """
+    stage = F.when(_is("purchase"), _stage()).alias("stage")
+    played = events.groupBy("user_id", F.to_date("ts").alias("datekey"), stage).agg(
+        F.max("ts").alias("last_ts")
+    )
+    daily = (
+        played.join(signups, "user_id")
+        .filter(F.col("last_ts") >= F.col("reg_ts"))
+        .groupBy(
+            F.col("user_id").alias("nid"),
+            F.to_date("reg_ts").alias("reg_datekey"),
+            "datekey",
+        )
+        .agg(F.max("stage").alias("stage"))
     )
     so_far = W.partitionBy("nid").orderBy("datekey").rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -246,11 +261,11 @@ def _f_user_map(kept: DataFrame) -> DataFrame:
     )
 
 
-def _adjust_conversion(registered: DataFrame) -> DataFrame:
+def _adjust_conversion(signups: DataFrame) -> DataFrame:
     """One conversion per user, or two channels, or (one user in five) none."""
     second = F.when(_every(9, "user_id"), F.array(_network(), F.lit("Brandpage")))
     epoch = F.to_timestamp_ntz(F.lit("1970-01-01"))
-    return registered.filter(~_every(5, "user_id")).select(
+    return signups.filter(~_every(5, "user_id")).select(
         F.col("user_id").alias("nid"),
         F.explode(second.otherwise(F.array(_network()))).alias("network_name"),
         F.timestamp_diff("SECOND", epoch, F.col("reg_ts"))
