@@ -19,6 +19,7 @@ def attribute(
     default: str = DEFAULT_CHANNEL,
     start: TimeLike | None = None,
     before: TimeLike | None = None,
+    every_hour: bool = True,
 ) -> DataFrame:
     """Registered users and their channels, one row per user and channel; users
     without a conversion have the ``default`` channel.
@@ -28,12 +29,13 @@ def attribute(
     ``registrations`` and ``clocks`` are the user's registration rows and their
     distinct hours and minutes, ``spellings`` the conversions that end up in
     the channel (two when both the default's name and NULL occur).
+    ``every_hour`` is explained at ``usable_minutes``.
     """
     minute_of_day = F.hour("_i_t") * 60 + F.minute("_i_t")
     users = (
         registers.filter(
             F.col("nid").isNotNull()
-            & usable_minutes("_i_t")
+            & usable_minutes("_i_t", every_hour=every_hour)
             & time_range("_i_t", start, before)
         )
         .groupBy("nid")

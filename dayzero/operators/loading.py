@@ -40,13 +40,14 @@ def login_loading(
     before: TimeLike | None = None,
     reasons: Sequence[str] = LOGIN_REASONS,
     strict: bool = False,
+    every_hour: bool = True,
 ) -> DataFrame:
     """Distinct (user, day, loading-time bucket) of the login rows: at most one
     row per bucket for a user's day, combined before the shuffle."""
     logins = money_log.filter(
         F.col("rsn").isin(*reasons)
         & (F.col("add_rsn") != NO_PAYLOAD)
-        & usable_minutes("_i_t")
+        & usable_minutes("_i_t", every_hour=every_hour)
         & time_range("_i_t", None, before)
     )
     return logins.select(

@@ -77,10 +77,14 @@ def channel_ratio_window(
     return _with_ratio(counts)
 
 
-def channel_ratio(tables: Tables, default: str = DEFAULT_CHANNEL) -> DataFrame:
+def channel_ratio(
+    tables: Tables, default: str = DEFAULT_CHANNEL, every_hour: bool = True
+) -> DataFrame:
     """The same over all dates, with channels from the conversions."""
     members = cohort_members(tables.f_max_campaign, ["strict", "played"])
-    channels = attribute(tables.common_register, tables.adjust_conversion, default)
+    channels = attribute(
+        tables.common_register, tables.adjust_conversion, default, every_hour=every_hour
+    )
     counts = (
         channels.join(members, "nid")
         .groupBy("network_name")
@@ -99,13 +103,19 @@ def channel_revenue_window(
     last: DateLike = "2019-10-09",
     before: TimeLike = "2019-10-10",
     default: str = DEFAULT_CHANNEL,
+    every_hour: bool = True,
 ) -> DataFrame:
     """Revenue per user by channel for registrations inside the window, users
     who did not enter against players.  Only the former are limited to revenue
     of the window."""
     inside = date_range("reg_datekey", first, last) & date_range("datekey", first, last)
     channels = attribute(
-        tables.common_register, tables.adjust_conversion, default, first, before
+        tables.common_register,
+        tables.adjust_conversion,
+        default,
+        first,
+        before,
+        every_hour,
     )
     return _revenue_per_user(
         tables,
@@ -116,9 +126,13 @@ def channel_revenue_window(
     )
 
 
-def channel_revenue(tables: Tables, default: str = DEFAULT_CHANNEL) -> DataFrame:
+def channel_revenue(
+    tables: Tables, default: str = DEFAULT_CHANNEL, every_hour: bool = True
+) -> DataFrame:
     """The same over all dates."""
-    channels = attribute(tables.common_register, tables.adjust_conversion, default)
+    channels = attribute(
+        tables.common_register, tables.adjust_conversion, default, every_hour=every_hour
+    )
     return _revenue_per_user(
         tables,
         cohort_members(tables.f_max_campaign, ["strict", "played"]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayzero.constants import COUNTRIES, OTHER_COUNTRY
 from dayzero.functions import date_range
 from dayzero.functions.dates import DateLike, TimeLike
-from dayzero.operators import day0_cohort, device_funnel, first_event, join_metrics
+from dayzero.operators import day0_cohort, device_funnel, first_event
 from dayzero.operators.cohorts import in_cohort
 from dayzero.operators.loading import loading_bucket
 from dayzero.sources.tables import Tables
@@ -19,25 +19,41 @@ from dayzero.sources.tables import Tables
 def country_month(tables: Tables) -> DataFrame:
     """Per country and month of registration: users without a tutorial on day 0
     and registered users.  The month of the former is that of their progress
-    row; an unknown country has no registered users beside it."""
+    row; an unknown country has no registered users beside it.
+
+    Each joined user counts in up to two months, so it becomes a row for each.
+    """
     new = (
         tables.f_user_map.filter(F.col("nru") == 1)
-        .select("nid", "reg_country", F.month("reg_datekey").alias("reg_mon"))
+        .select("nid", "reg_country", F.month("reg_datekey").alias("new_mon"))
         .distinct()
     )
-    registered = new.groupBy("reg_country", "reg_mon").agg(F.count("nid").alias("reg_UU"))
     idle = (
         tables.f_max_campaign.filter(in_cohort("loose"))
-        .select("nid", F.month("reg_datekey").alias("reg_mon"))
+        .select("nid", F.month("reg_datekey").alias("idle_mon"))
         .distinct()
     )
-    not_entered = (
-        idle.join(new.select("nid", "reg_country").distinct(), "nid")
-        .groupBy("reg_country", "reg_mon")
-        .agg(F.count("nid").alias("not_enter_UU"))
+    counted_in = F.array(
+        F.struct(F.col("new_mon").alias("reg_mon"), F.lit(True).alias("is_new")),
+        F.struct(F.col("idle_mon").alias("reg_mon"), F.lit(False).alias("is_new")),
+    )
+    users = (
+        new.join(idle, "nid", "left")
+        .select("nid", "reg_country", F.inline(counted_in))
+        .groupBy("nid", "reg_country", "reg_mon")
+        .agg(F.bool_or("is_new").alias("is_new"), F.bool_and("is_new").alias("only_new"))
+    )
+    known = F.col("reg_country").isNotNull()
+    months = users.groupBy("reg_country", "reg_mon").agg(
+        F.count_if(~F.col("only_new")).alias("not_enter_UU"),
+        F.count(F.when(F.col("is_new"), F.col("nid"))).alias("new_users"),
+        F.bool_or("is_new").alias("any_new"),
     )
-    return join_metrics(not_entered, [(registered, ["reg_country", "reg_mon"])]).select(
-        "reg_country", "reg_mon", "not_enter_UU", "reg_UU"
+    return months.filter(F.col("reg_mon").isNotNull() & (F.col("not_enter_UU") > 0)).select(
+        "reg_country",
+        "reg_mon",
+        "not_enter_UU",
+        F.when(known & F.col("any_new"), F.col("new_users")).alias("reg_UU"),
     )
 
 

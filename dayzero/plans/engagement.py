@@ -59,7 +59,10 @@ def stage_transitions_played(
 
 
 def stage_transitions_not_entered(
-    tables: Tables, reg_to: DateLike = "2019-10-01", cap: int = STAGE_CAP
+    tables: Tables,
+    reg_to: DateLike = "2019-10-01",
+    cap: int = STAGE_CAP,
+    every_hour: bool = True,
 ) -> DataFrame:
     """Users without a tutorial by second and third lowest progress row, where
     each row counts once per registration of the user."""
@@ -72,7 +75,7 @@ def stage_transitions_not_entered(
         )
     )
     registrations = (
-        tables.common_register.filter(usable_minutes("_i_t"))
+        tables.common_register.filter(usable_minutes("_i_t", every_hour=every_hour))
         .groupBy("nid")
         .agg(F.count(F.lit(1)).alias("registrations"))
     )
@@ -96,6 +99,7 @@ def loading_time_engagement(
     late_days: int = LATE_ENTRY_DAYS,
     reasons: Sequence[str] = LOGIN_REASONS,
     strict: bool = False,
+    every_hour: bool = True,
 ) -> DataFrame:
     """Users by registration day and loading time of that day, in four groups:
     played and advanced on day 1, played and did not advance, did not enter but
@@ -108,7 +112,7 @@ def loading_time_engagement(
     # Only logins of a registration day can match.
     in_window = time_range("_i_t", reg_from, days_after(reg_to, 1))
     money_log = tables.common_gamemoney.filter(in_window)
-    loading = login_loading(money_log, before, reasons, strict)
+    loading = login_loading(money_log, before, reasons, strict, every_hour)
     counts = (
         loading.join(groups, ["nid", "reg_datekey"])
         .groupBy("reg_datekey", "avg_loading_time")
