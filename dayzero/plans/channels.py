@@ -17,12 +17,12 @@ from dayzero.functions import date_range, week_of_year
 from dayzero.functions.dates import DateLike, TimeLike
 from dayzero.operators import (
     attribute,
+    channel_payments,
     cohort_members,
     cumulative_revenue,
     day0_cohort,
     join_metrics,
     none_if_zero,
-    paying_users,
 )
 from dayzero.operators.channels import channel
 from dayzero.sources.tables import Tables
@@ -118,11 +118,9 @@ def channel_revenue_window(
         every_hour,
     )
     return _revenue_per_user(
-        tables,
-        cohort_members(tables.f_max_campaign, ["strict", "played"], first, last),
+        channel_payments(tables.f_user_map, default, inside),
         channels.withColumn("idle_rows", F.col("registrations")),
-        paying_users(tables.f_user_map, inside),
-        default,
+        cohort_members(tables.f_max_campaign, ["strict", "played"], first, last),
     )
 
 
@@ -134,32 +132,47 @@ def channel_revenue(
         tables.common_register, tables.adjust_conversion, default, every_hour=every_hour
     )
     return _revenue_per_user(
-        tables,
-        cohort_members(tables.f_max_campaign, ["strict", "played"]),
+        channel_payments(tables.f_user_map, default),
         channels.withColumn("idle_rows", F.col("registrations") * F.col("spellings")),
-        paying_users(tables.f_user_map),
-        default,
+        cohort_members(tables.f_max_campaign, ["strict", "played"]),
     )
 
 
 def _revenue_per_user(
-    tables: Tables,
-    members: DataFrame,
-    channels: DataFrame,
-    revenue: DataFrame,
-    default: str,
+    payments: DataFrame, channels: DataFrame, members: DataFrame
 ) -> DataFrame:
     """Revenue counts once per joined row, users count once.
 
     Players are joined per progress row and per distinct registration clock,
     users who did not enter per ``idle_rows``.
+
+    The channels to list are those of the user table, the revenue belongs to
+    the attributed channel.  A joined row therefore becomes two, one naming the
+    channel to list and one carrying the revenue, and no second pass over the
+    user table is needed.
     """
-    users = channels.join(members, "nid").join(revenue, "nid")
+    attributed = channels.join(members, "nid").withColumnRenamed("network_name", "paid_by")
+    names = F.array(
+        F.struct("network_name", F.lit(False).alias("paid")),
+        F.struct(F.col("paid_by").alias("network_name"), F.lit(True).alias("paid")),
+    )
+    amounts = ["revenue", "window_revenue"]
+    per_user = ["strict", "played", "idle_rows", "clocks"]
+    rows = payments.join(attributed, "nid", "left").select(
+        "nid", "in_window", *amounts, *per_user, F.inline(names)
+    )
+    users = rows.groupBy("nid", "network_name").agg(
+        F.bool_or(~F.col("paid")).alias("listed"),
+        F.bool_or(F.col("paid") & F.col("in_window")).alias("in_window"),
+        *[F.sum(F.when(F.col("paid"), F.col(name))).alias(name) for name in amounts],
+        *[F.max(F.when(F.col("paid"), F.col(name))).alias(name) for name in per_user],
+    )
     idle = (F.col("strict") > 0) & F.col("in_window")
     player = F.col("played") > 0
     idle_revenue = F.col("window_revenue") * F.col("idle_rows")
     player_revenue = F.col("revenue") * F.col("clocks") * F.col("played")
-    per_channel = users.groupBy("network_name").agg(
+    by_channel = users.groupBy("network_name").agg(
+        F.bool_or("listed").alias("listed"),
         (F.sum(F.when(idle, idle_revenue)) / none_if_zero(F.count_if(idle))).alias(
             "not_play_revenue"
         ),
@@ -167,8 +180,7 @@ def _revenue_per_user(
             "play_revenue"
         ),
     )
-    spine = _all_channels(tables, default)
-    return join_metrics(spine, [(per_channel, ["network_name"])])
+    return by_channel.filter("listed").drop("listed")
 
 
 def weekly_not_entered(tables: Tables) -> DataFrame:

@@ -49,6 +49,11 @@ def test_no_second_distinct_count(stored, name):
         (plans.stage_transitions_not_entered, 2),
         (plans.loading_time_engagement, 2),
         (plans.channel_ratio_window, 2),
+        (plans.channel_ratio, 4),
+        (plans.channel_revenue_window, 4),
+        (plans.channel_revenue, 4),
+        (plans.country_month, 2),
+        (plans.install_to_login, 4),
         (plans.two_days_played, 2),
         (plans.weekly_not_entered, 2),
         (plans.revenue_by_age, 1),
