@@ -24,9 +24,9 @@ def bucketize(
         raise ValueError("bucketize needs one label per edge")
     if not edges:
         return F.lit(else_label)
-    ladder = F
-    for edge, label in zip(edges, labels):
-        ladder = ladder.when(value < F.lit(edge), F.lit(label))
+    ladder = F.when(value < edges[0], F.lit(labels[0]))
+    for edge, label in zip(edges[1:], labels[1:]):
+        ladder = ladder.when(value < edge, F.lit(label))
     return ladder.otherwise(F.lit(else_label))
 
 

@@ -50,8 +50,11 @@ def login_loading(
         & usable_minutes("_i_t", every_hour=every_hour)
         & time_range("_i_t", None, before)
     )
-    return logins.select(
+    # A column of its own, so that the text is split once and not per bucket.
+    times = logins.select(
         "nid",
         F.to_date("_i_t").alias("reg_datekey"),
-        engagement_bucket(loading_time(strict=strict)).alias("avg_loading_time"),
-    ).distinct()
+        loading_time(strict=strict).alias("loading_time"),
+    )
+    bucket = engagement_bucket(F.col("loading_time")).alias("avg_loading_time")
+    return times.select("nid", "reg_datekey", bucket).distinct()

@@ -15,6 +15,8 @@ SETTINGS = {
     # Many small initial partitions, merged at run time from measured sizes.
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Joins whose measured sides are small enough per task skip the sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.ui.enabled": "false",
 }
 
