@@ -115,9 +115,27 @@ def test_rank_limit_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_distinct_users_are_combined_before_the_shuffle(stored):
-    """A scan feeds a partial aggregate or a projection of it, never a raw
-    shuffle of the log."""
-    lines = physical(plans.register_time_distribution(stored)).splitlines()
+def first_below(lines: list[str], start: int) -> str:
+    """What an exchange shuffles: its first descendant that is not a mere
+    projection, filter or format change."""
+    passing = ("Project", "Filter", "ColumnarToRow", "Generate", "Sort [")
+    for line in lines[start + 1 :]:
+        operator = line.lstrip(" :+-*()0123456789")
+        if not operator.startswith(passing):
+            return operator
+    raise AssertionError("an exchange without input")
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_logs_are_folded_before_the_shuffle(spark, stored, name):
+    """No table but the small device list is shuffled as it is read."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = physical(REPORTS[name](stored)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
-    assert all("HashAggregate" in lines[i + 1] for i in exchanges)
+    assert exchanges
+    for i in exchanges:
+        shuffled = first_below(lines, i)
+        assert "FileScan" not in shuffled or "dim_osv_temp" in shuffled, shuffled
