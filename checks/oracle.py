@@ -227,7 +227,7 @@ ON_TABLES["q07_loading_time_engagement"] = f"""
   SELECT if(a.id_campaign < b.id_campaign, 'up', 'same'), a.nid, a.reg_datekey
   FROM window_days AS a JOIN window_days AS b ON a.nid = b.nid
   WHERE a.datekey = a.reg_datekey AND b.datekey = b.reg_datekey + 1
-    AND least(a.id_campaign, b.id_campaign) > 0
+    AND a.id_campaign > 0 AND b.id_campaign > 0
 )
 SELECT reg_datekey,
        if(loading < 1000, chr(97 + floor(loading / 100)::INT) || '.under_'
