@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayzero.llm import bpe, mixing, token_counts, url_rules
+from dayzero.llm import bpe, html_extract, mixing, quality, token_counts, url_rules
 from dayzero.llm.common import read
 
 URL_RULES = [
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -26,6 +30,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(read(spark, sf_dir, "documents"), carried=["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("row.doc_id", *counts, "base_failed", "distance", "kept")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), carried=["doc_id"], keep_table=True)
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -62,7 +72,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM jud
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_filter, op4_token_counts, op7_mix_sources, op10_bpe]
+    found = [op1_html_text, op3_url_filter, op4_token_counts, op5_quality_rules, op7_mix_sources, op10_bpe]
     return {q.__name__: q for q in found}
 
 
