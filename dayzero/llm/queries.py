@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayzero.llm import bpe, html_extract, mixing, quality, token_counts, url_rules
+from dayzero.llm import bpe, html_extract, mixing, quality, token_counts, toxicity, url_rules
 from dayzero.llm.common import read
 
 URL_RULES = [
@@ -41,6 +41,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    graded = toxicity.grade_documents(docs, model, carried=["doc_id"])
+    return graded.select("row.doc_id", "severity", "grade", "p_toxic", "toxic")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     coded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carried=["doc_id"])
@@ -72,7 +79,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM jud
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op3_url_filter, op4_token_counts, op5_quality_rules, op7_mix_sources, op10_bpe]
+    found = [op1_html_text, op3_url_filter, op4_token_counts, op5_quality_rules, op7_mix_sources, op9_toxicity, op10_bpe]
     return {q.__name__: q for q in found}
 
 
