@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayzero.llm import bpe, html_extract, mixing, near_text, near_vectors, quality, token_counts, toxicity, url_rules
+from dayzero.llm import bpe, html_extract, id_files, mixing, near_text, near_vectors, quality, token_counts, toxicity, url_rules
 from dayzero.llm.common import read
 
 URL_RULES = [
@@ -49,6 +49,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.store_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -140,7 +144,7 @@ FROM texts t LEFT JOIN sizes USING (doc_id) JOIN smallest USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_near_vectors, op3_url_filter, op4_token_counts, op5_quality_rules, op6_near_text, op7_mix_sources, op9_toxicity, op10_bpe]
+    found = [op1_html_text, op2_near_vectors, op3_url_filter, op4_token_counts, op5_quality_rules, op6_near_text, op7_mix_sources, op8_id_files, op9_toxicity, op10_bpe]
     return {q.__name__: q for q in found}
 
 
