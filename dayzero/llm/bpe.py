@@ -19,9 +19,11 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -156,11 +158,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.known: dict[str, tuple[str, int, str]] = {}
+        #: Of each word the ids as a string, their number, the decoded text, and the ids as 32-bit numbers.
+        self.known: dict[str, tuple[str, int, str, bytes]] = {}
         specials = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         for s in specials:
-            self.known[s] = (str(self.merges.special[s]), 1, s)
+            self.known[s] = self.entry([self.merges.special[s]], [s])
         self.fixed = dict(self.known)
 
     @staticmethod
@@ -186,16 +189,23 @@ class Encoder:
             self.known = dict(self.fixed)
         ids = self.merges.ids
         for word, tokens in self.merges.encode_words(w for w in words if w not in self.known).items():
-            self.known[word] = (" ".join(str(ids[t]) for t in tokens), len(tokens), " ".join(tokens))
+            self.known[word] = self.entry([ids[t] for t in tokens], tokens)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, the ids and the decoded text, both as strings, of each text."""
+    @staticmethod
+    def entry(ids: list[int], tokens: list[str]) -> tuple[str, int, str, bytes]:
+        return " ".join(map(str, ids)), len(ids), " ".join(tokens), array("i", ids).tobytes()
+
+    def found(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, str, bytes]]]:
+        """The entries of each text's words."""
         cut = [self.words(t or "") for t in texts]
         self.learn(set().union(*cut))
         known = self.known
-        for words in cut:
-            found = [known[w] for w in words]
-            yield sum(f[1] for f in found), " ".join([f[0] for f in found]), " ".join([f[2] for f in found])
+        return ([known[w] for w in words] for words in cut)
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, the ids and the decoded text, both as strings, of each text."""
+        for own in self.found(texts):
+            yield sum(f[1] for f in own), " ".join([f[0] for f in own]), " ".join([f[2] for f in own])
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.merges.strings[i] for i in ids)
@@ -217,7 +227,7 @@ def _sha(text: str) -> str:
 def encode_documents(
     docs: DataFrame, path: str, carried: list[str], text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """row (struct of the carried columns), n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded.
+    """row (struct of the carried columns), n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded text.
     """
@@ -229,17 +239,19 @@ def encode_documents(
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
-                done = list(coder.encode(part.column(1).to_pylist()))
+                done = list(coder.found(part.column(1).to_pylist()))
+                sizes = [sum(f[1] for f in own) for own in done]
                 columns = {
                     "row": part.column(0),
-                    "n_tokens": pa.array([n for n, _, _ in done], pa.int64()),
-                    "ids_sha256": pa.array([_sha(ids) for _, ids, _ in done], pa.string()),
-                    "decoded_sha256": pa.array([_sha(text) for _, _, text in done], pa.string()),
+                    "n_tokens": pa.array(sizes, pa.int64()),
+                    "ids_sha256": pa.array([_sha(" ".join([f[0] for f in own])) for own in done], pa.string()),
+                    "decoded_sha256": pa.array([_sha(" ".join([f[2] for f in own])) for own in done], pa.string()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.array([[*map(int, ids.split())] for _, ids, _ in done], pa.list_(pa.int32()))
-                    columns["decoded"] = pa.array([text for _, _, text in done], pa.string())
+                    values = np.frombuffer(b"".join([f[3] for own in done for f in own]), np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"row {row_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return read.mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return read.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
