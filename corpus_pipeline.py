@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ready(spark)
     judged = near_text.near_duplicates(docs, width=5, percent=80)
     gone = written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")), "duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The distinct words of a batch are put into a trie of symbols. The last token of a prefix's encoding is found from its
 ancestors: a token t that ends the prefix is its last token exactly if the prefix without t ends with a token s such
-that the merges leave the pair (s, t) apart. A walk through the trie finds the last token of each prefix once, however
+that the merges leave the pair (s, t) apart (and t is a token that its own string is merged to). A walk through the trie finds the last token of each prefix once, however
 many words share it; a word's encoding is read by stepping back from token to token.
 
 Texts are cut as the tokenizer file says: special strings are taken out first, the rest is normalised (NFC, white space
@@ -73,10 +73,15 @@ class Merges:
         self.longest = max(self.length.values())
         self.bytes = byte_symbols()
         self._apart: dict[tuple[str, str], bool] = {}
+        # A token whose own string is merged otherwise occurs in no encoding.
+        self.usable = {s for s in self.ids if s not in self.parts}
+        for (a, b), i in self.rank.items():
+            if self.made[a + b] == i and a in self.usable and b in self.usable and not self._cross(a, b, i):
+                self.usable.add(a + b)
 
-    def _edge(self, token: str, side: int) -> list[tuple[str, int, int]]:
+    def _edge(self, token: str, side: int, used: int) -> list[tuple[str, int, int]]:
         """The pieces at one end of a token, from whole to symbol: when each is made and when it is used up."""
-        pieces, used = [], ENDLESS
+        pieces = []
         while True:
             made = self.made.get(token, -1)
             pieces.append((token, made, used))
@@ -84,25 +89,28 @@ class Merges:
                 return pieces
             token, used = self.parts[token][side], made
 
-    def apart(self, left: str, right: str) -> bool:
-        """Do the merges leave these two tokens side by side?
+    def _cross(self, left: str, right: str, used: int) -> bool:
+        """Does a merge reach across two neighbouring tokens before they are used up themselves?
 
-        They do not if some piece at the end of left and some piece at the start of right exist at one time and merge
+        One does if some piece at the end of left and some piece at the start of right exist at one time and merge
         before either is used up. Equal merges happen from left to right, so at equal rank left's own merge comes
         first and right's comes second.
         """
+        return any(
+            (rank := self.rank.get((a, b))) is not None
+            and rank < a_used
+            and rank <= b_used
+            and a_made < b_used
+            and b_made < a_used
+            for a, a_made, a_used in self._edge(left, 1, used)
+            for b, b_made, b_used in self._edge(right, 0, used)
+        )
+
+    def apart(self, left: str, right: str) -> bool:
+        """Do the merges leave these two tokens side by side?"""
         known = self._apart.get((left, right))
         if known is None:
-            known = not any(
-                (rank := self.rank.get((a, b))) is not None
-                and rank < a_used
-                and rank <= b_used
-                and a_made < b_used
-                and b_made < a_used
-                for a, a_made, a_used in self._edge(left, 1)
-                for b, b_made, b_used in self._edge(right, 0)
-            )
-            self._apart[left, right] = known
+            known = self._apart[left, right] = not self._cross(left, right, ENDLESS)
         return known
 
     def symbols(self, word: str) -> list[str]:
@@ -127,7 +135,7 @@ class Merges:
             ends[word] = node
         last: list[str | None] = [None] * len(symbols)
         back = [0] * len(symbols)
-        ids, apart, known, steps = self.ids, self.apart, self._apart, range(self.longest)
+        usable, apart, known, steps = self.usable, self.apart, self._apart, range(self.longest)
         # A node comes after its parent, so the order of making is a walk in which ancestors' states are known.
         for node in range(1, len(symbols)):
             at, token = node, ""
@@ -135,10 +143,10 @@ class Merges:
                 token = symbols[at] + token
                 at = parents[at]
                 if not at:
-                    if token in ids:
+                    if token in usable:
                         last[node] = token
                     break
-                if token in ids and (before := last[at]) is not None:
+                if token in usable and (before := last[at]) is not None:
                     free = known.get((before, token))
                     if apart(before, token) if free is None else free:
                         last[node], back[node] = token, at

@@ -40,7 +40,7 @@ from dayzero.llm.components import components
 SAMPLE, PAIRS = 16_384, 2_000
 RECALL = 0.998
 ROWS_PER_CELL = 16
-MIN_WORDS, MAX_WORDS = 4, 512
+MAX_WORDS = 512
 ROUNDS = 12
 BLOCK_HOMES, BLOCK_VISITORS = 4_096, 16_384
 #: Vectors compared with a cell at one time.
@@ -99,7 +99,7 @@ def fit_grid(units: np.ndarray, n_words: int, threshold: float, recall: float) -
     half = units.shape[1] // 2
     n_words = min(n_words, len(units))
     grid = Grid(_codebook(units[:, :half], n_words), _codebook(units[:, half:], n_words), 1)
-    one = units[:PAIRS]
+    one = np.resize(units, (PAIRS, units.shape[1]))
     noise = np.random.default_rng(3).normal(size=one.shape)
     noise -= (noise * one).sum(1, keepdims=True) * one
     noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)
@@ -162,7 +162,7 @@ def _matrix(values, dtype, width: int) -> np.ndarray:
 
 def _fit(classes: DataFrame, n: int, dtype, width: int, threshold: float, recall: float) -> Grid:
     words = 2 ** round(math.log2(max(1.0, math.sqrt(n / ROWS_PER_CELL))))
-    words = min(MAX_WORDS, max(MIN_WORDS, words))
+    words = min(MAX_WORDS, words)
     share = int(min(1.0, SAMPLE / n) * (1 << 30))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:

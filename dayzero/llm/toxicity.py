@@ -97,7 +97,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     share = min(1.0, sample / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About `sample` rows of nine bytes, whatever the tables hold.
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("l_id")).select(F.col(text_col).alias("text"), "toxic")
+    texts = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("text", "toxic")
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
