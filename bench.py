@@ -1,8 +1,11 @@
 """Time the reports and print one JSON line.
 
+Each query runs twice to warm up; ``spread`` is the widest ratio of a query's
+slowest to its fastest timed run.
+
 BENCH_SF_DIR   folder with the test tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_RUNS     timed runs per query after one warm-up (default 3, median)
+BENCH_RUNS     timed runs per query after the warm-up (default 3, median)
 """
 
 from __future__ import annotations
@@ -39,12 +42,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     names = [*registry.REPORTS, *OPERATORS]
-    for name in names:
+    for name in names * 2:
         seconds(spark, queries[name])
-    timed = {
-        name: round(statistics.median(seconds(spark, queries[name]) for _ in range(RUNS)), 4)
-        for name in names
-    }
+    runs = {name: [seconds(spark, queries[name]) for _ in range(RUNS)] for name in names}
+    timed = {name: round(statistics.median(times), 4) for name, times in runs.items()}
     print(
         json.dumps(
             {
@@ -52,6 +53,7 @@ def main() -> None:
                 "value": round(sum(timed.values()), 3),
                 "unit": "sec",
                 "queries": timed,
+                "spread": round(max(max(times) / min(times) for times in runs.values()), 2),
                 "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")),
             }
         )

@@ -1,4 +1,4 @@
-"""The ten input tables, derived from one raw ``events`` log.
+"""The ten input tables, derived from one raw ``events`` log by made-up rules.
 
 A user is registered by their first ``signup`` event and every table holds the
 events from that moment on.  All rules are column expressions; rows are only
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from dayzero.constants import COUNTRIES, DEFAULT_CHANNEL, NO_PAYLOAD, NOT_ENTERED
 from dayzero.functions import days_between
+from dayzero.operators.first_event import time_order
 from dayzero.operators.skew import SLICE_ROWS, join_per_key
 from dayzero.sources.tables import Tables
 
@@ -37,6 +38,7 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_from_events(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Tables:
+    """Tables of a log, whose rows are counted once for the hot-user join."""
     # The number is taken out of its text before anything is shuffled.
     events = events.withColumn("k", _number("props")).drop("props")
     signups = signups_of(events)
@@ -47,7 +49,7 @@ def tables_from_events(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Table
         "common_login": (_common_login, kept),
         "common_installed": (_common_installed, events),
         "common_gamemoney": (_common_gamemoney, kept),
-        "pve_campaign_result": (_pve_campaign_result, kept),
+        "pve_campaign_result": (_pve_campaign_result, events, slice_rows),
         "f_max_campaign": (_f_max_campaign, events, signups),
         "f_pve_campaign_result": (_f_pve_campaign_result, kept),
         "f_user_map": (_f_user_map, kept),
@@ -73,17 +75,29 @@ def events_since_signup(events: DataFrame, slice_rows: int = SLICE_ROWS) -> Data
     One user may own a large part of the log, so users with many events are
     spread over several join slices.
     """
+    return _since_signup(events, _users(events), slice_rows, events.count())
+
+
+def _users(events: DataFrame) -> DataFrame:
+    """Registered users: first signup and number of events."""
     users = events.groupBy("user_id").agg(
         F.min(F.when(_is("signup"), F.col("ts"))).alias("reg_ts"),
         F.count(F.lit(1)).alias("n_rows"),
     )
+    return users.filter(F.col("reg_ts").isNotNull())
+
+
+def _since_signup(
+    events: DataFrame, users: DataFrame, slice_rows: int, total_rows: int
+) -> DataFrame:
     joined = join_per_key(
         events,
-        users.filter(F.col("reg_ts").isNotNull()),
+        users,
         key="user_id",
         row_id="event_id",
         n_rows="n_rows",
         slice_rows=slice_rows,
+        total_rows=total_rows,
     )
     return joined.filter(F.col("ts") >= F.col("reg_ts"))
 
@@ -180,23 +194,30 @@ def _common_gamemoney(kept: DataFrame) -> DataFrame:
     )
 
 
-def _pve_campaign_result(kept: DataFrame) -> DataFrame:
-    """The earliest play of each user and stage is its first clear.  Finding
-    it is an aggregate and marking it a join on the event number, so no task
-    has to hold all plays of a user."""
-    plays = kept.filter(_is("purchase")).select(
-        "event_id", "ts", F.col("user_id").alias("nid"), _stage().alias("id_campaign")
+def _pve_campaign_result(events: DataFrame, slice_rows: int) -> DataFrame:
+    """The earliest play of each user and stage is its first clear.  The first
+    plays are an aggregate, become a map in the user's row (one entry per
+    stage) and are compared in the join that brings the signup.  Both joins
+    read the same shuffle of the plays."""
+    users, n_rows = _users(events), events.count()
+    plays = events.filter(_is("purchase")).select(
+        "event_id", "ts", "user_id", _stage().alias("id_campaign")
     )
     firsts = (
-        plays.groupBy("nid", "id_campaign")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first"))
-        .select(F.col("first.event_id").alias("event_id"), F.lit(1).alias("cleared"))
+        _since_signup(plays, users, slice_rows, n_rows)
+        .groupBy("user_id", "id_campaign")
+        .agg(F.min_by("event_id", time_order("ts", "event_id")).alias("first"))
+        .groupBy("user_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("id_campaign", "first"))).alias("firsts"))
     )
-    return plays.join(firsts, "event_id", "left").select(
-        "nid",
+    known = users.join(firsts, "user_id", "left")
+    marked = _since_signup(plays, known, slice_rows, n_rows)
+    cleared = F.try_element_at("firsts", F.col("id_campaign")) == F.col("event_id")
+    return marked.select(
+        F.col("user_id").alias("nid"),
         F.col("ts").alias("_i_t"),
         F.struct("id_campaign").alias("campaign_data"),
-        F.coalesce("cleared", F.lit(0)).alias("first_clear"),
+        F.when(cleared, 1).otherwise(0).alias("first_clear"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from checks.events import PARTNER_LOGIN, read_events, tables_from_events
 from dayzero import operators as ops
 from dayzero import plans
 from dayzero.functions import (
@@ -27,8 +28,7 @@ from dayzero.functions import (
 from dayzero.operators.engagement import consecutive_day_counts
 from dayzero.operators.grid import axis_grid
 from dayzero.operators.loading import loading_time
-from dayzero.sources import Tables, snapshot_as_of, tables_from_events
-from dayzero.sources.events import PARTNER_LOGIN, read_events
+from dayzero.sources import Tables, snapshot_as_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,7 +96,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "q03_minutes_to_stage_clear": partial(
         plans.minutes_to_stage_clear, before=BEFORE, cap=600
     ),
-    "q04_return_curve": partial(plans.return_curve_report, reg_to=REG_TO, horizon=20),
+    "q03_minutes_to_stage_clear_100": partial(plans.minutes_to_stage_clear, before=BEFORE),
+    "q04_return_curve": partial(plans.return_curve_report, reg_to=REG_TO),
     "q05_two_day_matrix_played": partial(plans.two_days_played, reg_to=REG_TO),
     "q06_two_day_matrix_not_entered": partial(plans.two_days_not_entered, reg_to=REG_TO),
     "q07_loading_time_engagement": partial(
@@ -117,7 +118,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "q12_weekly_not_entered": partial(plans.weekly_not_entered),
     "q13_cumulative_revenue": partial(plans.revenue_by_age),
     "q14_cumulative_revenue_recent": partial(
-        plans.revenue_by_age, horizon=20, min_reg="2024-01-03"
+        plans.recent_revenue_by_age, min_reg="2024-01-03"
     ),
     "q15_transition_played": partial(plans.stage_transitions_played, reg_to=REG_TO),
     "q16_transition_not_entered": partial(
@@ -155,14 +156,14 @@ def k02_first_return(spark, sf_dir):
 
 def k03_return_curve(spark, sf_dir):
     progress = load(spark, sf_dir).f_max_campaign
-    return ops.return_curve(ops.cohort_returns(progress, "loose"), horizon=29)
+    users = ops.cohort_returns(progress, "loose", max_days=29)
+    return ops.return_curve(users, horizon=29)
 
 
 def k04_densify(spark, sf_dir):
     lines = raw(spark, sf_dir, "lineitem")
     month = F.month("l_shipdate").alias("ship_month")
-    shipped = lines.filter(F.col("l_returnflag") == "N")
-    facts = shipped.groupBy("l_suppkey", month).agg(F.sum("l_quantity").alias("quantity"))
+    facts = lines.groupBy("l_suppkey", month).agg(F.sum("l_quantity").alias("quantity"))
     spine = ops.grid(
         raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")),
         ship_month=range(1, 13),
@@ -212,8 +213,8 @@ def k08_transition_matrix(spark, sf_dir):
 
 
 def k09_join_metrics(spark, sf_dir):
-    customers = raw(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 9000)
-    suppliers = raw(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > 9000)
+    customers = raw(spark, sf_dir, "customer")
+    suppliers = raw(spark, sf_dir, "supplier")
     nations = raw(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     by_customer = customers.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
         F.count(F.lit(1)).alias("customers"), F.avg("c_acctbal").alias("mean_balance")
@@ -278,10 +279,9 @@ def k15_minutes_hist(spark, sf_dir):
     tables = load(spark, sf_dir)
     return ops.minutes_between_hist(
         tables.common_register,
-        tables.pve_campaign_result,
-        cap=1440,
-        over_label="over a day",
-        same_day=False,
+        tables.pve_campaign_result.filter(F.col("first_clear") == 1),
+        cap=720,
+        over_label="over half a day",
     )
 
 
@@ -332,9 +332,8 @@ def p_struct_access(spark, sf_dir):
 def j_inner_composite(spark, sf_dir):
     tables = load(spark, sf_dir)
     stages = tables.f_max_campaign.filter(F.col("id_campaign") > 0)
-    paid = tables.f_user_map.filter(F.col("daily_revenue") > 50)
     return (
-        stages.join(paid.select("nid", "datekey", "daily_revenue"), ["nid", "datekey"])
+        stages.join(tables.f_user_map.select("nid", "datekey", "daily_revenue"), ["nid", "datekey"])
         .groupBy("id_campaign")
         .agg(
             F.count(F.lit(1)).alias("days"),
@@ -484,10 +483,10 @@ def f_time_functions(spark, sf_dir):
     seconds = since_epoch("SECOND", "ts")
     return (
         raw(spark, sf_dir, "events")
-        .filter(usable_minutes("ts"))
         .groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.count_if(usable_minutes("ts")).alias("usable"),
             F.sum(F.minute("ts")).alias("minutes"),
             F.sum(minutes_between(day_start, F.col("ts"))).alias("since_midnight"),
             F.sum(minutes_between(F.col("ts"), day_start)).alias("to_midnight"),

@@ -44,6 +44,7 @@ ENGAGEMENT_LABELS = (
     "j.under_1000",
 )
 ENGAGEMENT_ELSE = "k.over_1000"
+UNREADABLE = "l.unreadable"
 LOADING_EDGES = (100, 200, 300, 400, 500, 600, 700, 800)
 LOADING_LABELS = (
     "under_100",

@@ -6,7 +6,7 @@ a large part of the rows never reaches one task whole).  Joins, windows and
 counts then work on those rows, and a distinct-user count is a plain count.
 """
 
-from dayzero.operators.channels import attribute, channel_payments
+from dayzero.operators.channels import attribute, user_payments
 from dayzero.operators.cohorts import COHORTS, cohort_members, day0_cohort
 from dayzero.operators.engagement import consecutive_day_counts, two_day_matrix
 from dayzero.operators.first_event import first_event
@@ -28,7 +28,6 @@ from dayzero.operators.transitions import transition_matrix
 __all__ = [
     "COHORTS",
     "attribute",
-    "channel_payments",
     "cohort_members",
     "cohort_returns",
     "consecutive_day_counts",
@@ -49,4 +48,5 @@ __all__ = [
     "running_total",
     "transition_matrix",
     "two_day_matrix",
+    "user_payments",
 ]

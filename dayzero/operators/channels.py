@@ -59,15 +59,10 @@ def attribute(
     )
 
 
-def channel_payments(
-    user_days: DataFrame,
-    default: str = DEFAULT_CHANNEL,
-    in_window: Column | None = None,
-) -> DataFrame:
-    """Per user and channel of the user table: all revenue, and revenue and
-    presence inside the window."""
+def user_payments(user_days: DataFrame, in_window: Column | None = None) -> DataFrame:
+    """Per user: all revenue, and revenue and presence inside the window."""
     inside = F.lit(True) if in_window is None else in_window
-    return user_days.groupBy("nid", channel(default).alias("network_name")).agg(
+    return user_days.groupBy("nid").agg(
         F.sum("daily_revenue").alias("revenue"),
         F.sum(F.when(inside, F.col("daily_revenue"))).alias("window_revenue"),
         F.bool_or(F.coalesce(inside, F.lit(False))).alias("in_window"),

@@ -16,6 +16,7 @@ from dayzero.constants import (
     LOADING_LABELS,
     LOGIN_REASONS,
     NO_PAYLOAD,
+    UNREADABLE,
 )
 from dayzero.functions.dates import TimeLike, time_range, usable_minutes
 from dayzero.functions.labels import bucketize
@@ -43,7 +44,8 @@ def login_loading(
     every_hour: bool = True,
 ) -> DataFrame:
     """Distinct (user, day, loading-time bucket) of the login rows: at most one
-    row per bucket for a user's day, combined before the shuffle."""
+    row per bucket for a user's day, combined before the shuffle.  Unreadable
+    times have a bucket of their own, or raise when ``strict``."""
     logins = money_log.filter(
         F.col("rsn").isin(*reasons)
         & (F.col("add_rsn") != NO_PAYLOAD)
@@ -56,5 +58,9 @@ def login_loading(
         F.to_date("_i_t").alias("reg_datekey"),
         loading_time(strict=strict).alias("loading_time"),
     )
-    bucket = engagement_bucket(F.col("loading_time")).alias("avg_loading_time")
-    return times.select("nid", "reg_datekey", bucket).distinct()
+    bucket = F.when(F.col("loading_time").isNull(), F.lit(UNREADABLE)).otherwise(
+        engagement_bucket(F.col("loading_time"))
+    )
+    return times.select(
+        "nid", "reg_datekey", bucket.alias("avg_loading_time")
+    ).distinct()

@@ -15,17 +15,13 @@ def minutes_between_hist(
     ends: DataFrame,
     cap: int = MINUTE_CAP,
     over_label: str | None = None,
-    same_day: bool = True,
 ) -> DataFrame:
-    """Users by whole minutes from a start to an end event (``nid``, ``_i_t``
-    on both sides); minutes beyond ``cap`` share one label.
-
-    Without ``same_day`` each clock minute of a user's starts meets each of
-    their ends, so ``starts`` should hold few events per user, such as
-    registrations.
+    """Users by whole minutes from a start to an end event of the same day
+    (``nid``, ``_i_t`` on both sides); minutes beyond ``cap`` share one label.
     """
-    keys = ["nid", "day"] if same_day else ["nid"]
-    pairs = _minute_edges(starts, "start").join(_minute_edges(ends, "end"), keys)
+    pairs = _minute_edges(starts, "start").join(
+        _minute_edges(ends, "end"), ["nid", "day"]
+    )
     minutes = pairs.groupBy(minutes_between("start", "end").alias("minutes")).agg(
         F.count_distinct("nid").alias("users")
     )

@@ -9,6 +9,7 @@ from dayzero.plans.channels import (
     channel_ratio_window,
     channel_revenue,
     channel_revenue_window,
+    recent_revenue_by_age,
     revenue_by_age,
     weekly_not_entered,
 )
@@ -46,6 +47,7 @@ __all__ = [
     "install_to_login",
     "loading_time_engagement",
     "minutes_to_stage_clear",
+    "recent_revenue_by_age",
     "register_time_distribution",
     "return_curve_report",
     "return_depth_report",

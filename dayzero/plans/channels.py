@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dayzero.constants import (
     DEFAULT_CHANNEL,
     GRID_DEFAULT_CHANNEL,
+    RECENT_REVENUE_HORIZON,
     REVENUE_CHANNELS,
     REVENUE_HORIZON,
 )
@@ -17,12 +18,12 @@ from dayzero.functions import date_range, week_of_year
 from dayzero.functions.dates import DateLike, TimeLike
 from dayzero.operators import (
     attribute,
-    channel_payments,
     cohort_members,
     cumulative_revenue,
     day0_cohort,
     join_metrics,
     none_if_zero,
+    user_payments,
 )
 from dayzero.operators.channels import channel
 from dayzero.sources.tables import Tables
@@ -118,7 +119,8 @@ def channel_revenue_window(
         every_hour,
     )
     return _revenue_per_user(
-        channel_payments(tables.f_user_map, default, inside),
+        _all_channels(tables, default),
+        user_payments(tables.f_user_map, inside),
         channels.withColumn("idle_rows", F.col("registrations")),
         cohort_members(tables.f_max_campaign, ["strict", "played"], first, last),
     )
@@ -132,14 +134,15 @@ def channel_revenue(
         tables.common_register, tables.adjust_conversion, default, every_hour=every_hour
     )
     return _revenue_per_user(
-        channel_payments(tables.f_user_map, default),
+        _all_channels(tables, default),
+        user_payments(tables.f_user_map),
         channels.withColumn("idle_rows", F.col("registrations") * F.col("spellings")),
         cohort_members(tables.f_max_campaign, ["strict", "played"]),
     )
 
 
 def _revenue_per_user(
-    payments: DataFrame, channels: DataFrame, members: DataFrame
+    listed: DataFrame, payments: DataFrame, channels: DataFrame, members: DataFrame
 ) -> DataFrame:
     """Revenue counts once per joined row, users count once.
 
@@ -147,32 +150,16 @@ def _revenue_per_user(
     users who did not enter per ``idle_rows``.
 
     The channels to list are those of the user table, the revenue belongs to
-    the attributed channel.  A joined row therefore becomes two, one naming the
-    channel to list and one carrying the revenue, and no second pass over the
-    user table is needed.
+    the attributed channel, so the list is a scan of its own that reads one
+    column.  Payments are one row per user and attributions one row per user
+    and channel, so no pairs of channels are formed.
     """
-    attributed = channels.join(members, "nid").withColumnRenamed("network_name", "paid_by")
-    names = F.array(
-        F.struct("network_name", F.lit(False).alias("paid")),
-        F.struct(F.col("paid_by").alias("network_name"), F.lit(True).alias("paid")),
-    )
-    amounts = ["revenue", "window_revenue"]
-    per_user = ["strict", "played", "idle_rows", "clocks"]
-    rows = payments.join(attributed, "nid", "left").select(
-        "nid", "in_window", *amounts, *per_user, F.inline(names)
-    )
-    users = rows.groupBy("nid", "network_name").agg(
-        F.bool_or(~F.col("paid")).alias("listed"),
-        F.bool_or(F.col("paid") & F.col("in_window")).alias("in_window"),
-        *[F.sum(F.when(F.col("paid"), F.col(name))).alias(name) for name in amounts],
-        *[F.max(F.when(F.col("paid"), F.col(name))).alias(name) for name in per_user],
-    )
+    users = channels.join(members, "nid").join(payments, "nid")
     idle = (F.col("strict") > 0) & F.col("in_window")
     player = F.col("played") > 0
     idle_revenue = F.col("window_revenue") * F.col("idle_rows")
     player_revenue = F.col("revenue") * F.col("clocks") * F.col("played")
     by_channel = users.groupBy("network_name").agg(
-        F.bool_or("listed").alias("listed"),
         (F.sum(F.when(idle, idle_revenue)) / none_if_zero(F.count_if(idle))).alias(
             "not_play_revenue"
         ),
@@ -180,7 +167,7 @@ def _revenue_per_user(
             "play_revenue"
         ),
     )
-    return by_channel.filter("listed").drop("listed")
+    return join_metrics(listed, [(by_channel, ["network_name"])])
 
 
 def weekly_not_entered(tables: Tables) -> DataFrame:
@@ -218,3 +205,14 @@ def revenue_by_age(
 ) -> DataFrame:
     """Running revenue per channel and day since registration."""
     return cumulative_revenue(tables.f_user_map, horizon, channels, default, min_reg)
+
+
+def recent_revenue_by_age(
+    tables: Tables,
+    min_reg: DateLike = "2019-09-01",
+    horizon: int = RECENT_REVENUE_HORIZON,
+    channels: Sequence[str] = REVENUE_CHANNELS,
+    default: str = GRID_DEFAULT_CHANNEL,
+) -> DataFrame:
+    """The same for registrations from ``min_reg`` on."""
+    return revenue_by_age(tables, horizon, channels, default, min_reg)

@@ -28,12 +28,14 @@ def daily_count_as_of(
     first: dt.date = dt.date(2019, 8, 1),
     last: dt.date = dt.date(2019, 10, 21),
     as_of: dt.datetime | None = None,
+    versioned: bool = False,
 ) -> DataFrame:
     """Conversions per UTC day from ``first`` through ``last``, seen ``as_of``
-    (default: two days ago).  A conversion is there from its creation on.
+    (default: two days ago).  A conversion is there from its creation on, or,
+    if the table is ``versioned``, from the version on that brought it.
 
     All bounds are epoch numbers, so the column is not converted to a time
-    before it is compared.
+    before it is compared; kept as BIGINT, they reach its scan.
     """
     seconds = F.col("created_at").cast("long")
     if as_of is None:
@@ -41,9 +43,14 @@ def daily_count_as_of(
     else:
         moment = F.lit(_epoch_seconds(as_of))
     after_last = last + dt.timedelta(days=1)
+    if versioned:
+        seen_at = as_of or dt.datetime.now(dt.timezone.utc) - dt.timedelta(days=2)
+        stamp = dt.datetime.fromtimestamp(_epoch_seconds(seen_at), dt.timezone.utc)
+        seen = tables.as_of("adjust_conversion", f"{stamp:%Y-%m-%d %H:%M:%S}")
+    else:
+        seen = snapshot_as_of(tables.adjust_conversion, seconds, moment)
     return (
-        snapshot_as_of(tables.adjust_conversion, seconds, moment)
-        .filter(seconds >= F.lit(_epoch_seconds(first)))
+        seen.filter(seconds >= F.lit(_epoch_seconds(first)))
         .filter(seconds < F.lit(_epoch_seconds(after_last)))
         .groupBy(epoch_to_date(seconds).alias("datekey"))
         .agg(F.count(F.lit(1)).alias("cnt_2"))

@@ -18,8 +18,9 @@ from dayzero.sources.tables import Tables
 def return_curve_report(
     tables: Tables, reg_to: DateLike = "2019-10-01", horizon: int = RETURN_HORIZON
 ) -> DataFrame:
-    """First returns by day since registration, with their running total."""
-    users = cohort_returns(tables.f_max_campaign, "strict", reg_to)
+    """First returns by day since registration, with their running total.
+    Returns after the horizon are not read: they are in no row of the curve."""
+    users = cohort_returns(tables.f_max_campaign, "strict", reg_to, horizon)
     return return_curve(users, horizon)
 
 

@@ -1,6 +1,5 @@
 """Input tables: schemas, loading, snapshots and the event-log adapter."""
 
-from dayzero.sources.events import tables_from_events
 from dayzero.sources.schemas import SCHEMAS
 from dayzero.sources.snapshot import read_table_as_of, snapshot_as_of
 from dayzero.sources.tables import Tables
@@ -10,5 +9,4 @@ __all__ = [
     "Tables",
     "read_table_as_of",
     "snapshot_as_of",
-    "tables_from_events",
 ]

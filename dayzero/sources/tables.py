@@ -5,12 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from dayzero.sources.schemas import LOGS, SCHEMAS
+from dayzero.sources.snapshot import read_table_as_of
+
+# Names of the zone whose days and hours the reports are about.
+UTC = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "Zulu", "Etc/Zulu", "UCT", "+00:00"}
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Days, hours and minutes follow the session zone, so it has to be UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC:
+        raise ValueError(f"spark.sql.session.timeZone is {zone}: the reports need UTC")
 
 
 class Tables:
-    """Opens a table when it is first used, by its name: ``tables.common_login``."""
+    """Opens a table when it is first used, by its name: ``tables.common_login``.
+
+    Raises ``ValueError`` when the session does not run in UTC.
+    """
 
     adjust_conversion: DataFrame
     common_register: DataFrame
@@ -23,27 +38,49 @@ class Tables:
     f_user_map: DataFrame
     dim_osv_temp: DataFrame
 
-    def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
+    def __init__(
+        self,
+        open_table: Callable[[str], DataFrame],
+        open_as_of: Callable[[str, str], DataFrame] | None = None,
+    ) -> None:
         self._open_table = open_table
+        self._open_as_of = open_as_of
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
         table = self._open_table(name)
+        require_utc(table.sparkSession)
         setattr(self, name, table)
         return table
 
+    def as_of(self, name: str, moment: str) -> DataFrame:
+        """A table as it was at a moment, where its format keeps versions."""
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        if self._open_as_of is None:
+            raise ValueError("only catalog tables can be opened as of a moment")
+        return self._open_as_of(name, moment)
+
     @staticmethod
     def names() -> tuple[str, ...]:
         return tuple(SCHEMAS)
 
     @classmethod
     def from_files(
-        cls, spark: SparkSession, root: str, fmt: str = "parquet", suffix: str = ""
+        cls,
+        spark: SparkSession,
+        root: str,
+        fmt: str = "parquet",
+        suffix: str = "",
+        schemas: Mapping[str, StructType] | None = None,
     ) -> Tables:
-        """One file or folder per table below ``root``."""
+        """One file or folder per table below ``root``; ``schemas`` replaces
+        those of single tables, as for a ``created_at`` kept as BIGINT."""
+        require_utc(spark)
+        known = {**SCHEMAS, **(schemas or {})}
         return cls(
-            lambda name: spark.read.schema(SCHEMAS[name])
+            lambda name: spark.read.schema(known[name])
             .format(fmt)
             .load(f"{root}/{name}{suffix}")
         )
@@ -60,7 +97,11 @@ class Tables:
         the marts; ``renamed`` gives full names for tables kept elsewhere."""
         names = {name: f"{logs if name in LOGS else marts}.{name}" for name in SCHEMAS}
         names.update(renamed or {})
-        return cls(lambda name: spark.table(names[name]))
+        require_utc(spark)
+        return cls(
+            lambda name: spark.table(names[name]),
+            lambda name, moment: read_table_as_of(spark, names[name], moment),
+        )
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> Tables:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from dayzero import operators as ops
+from dayzero import plans
 from dayzero.operators.engagement import consecutive_day_counts, day_counts
 from dayzero.operators.grid import axis_grid
 from dayzero.operators.skew import join_per_key
-from dayzero.sources import snapshot_as_of
+from dayzero.sources import Tables, snapshot_as_of
 
 PROGRESS = (
     "nid bigint, reg_datekey date, datekey date, id_campaign bigint, last_tutorial string"
@@ -300,6 +302,37 @@ def test_first_event(frame, rows):
     assert sorted(rows(first)) == [(1, None, 3), (2, 5, 9)]
 
 
+def test_first_event_is_the_same_with_and_without_text(frame, rows):
+    """Text columns take the other way of ordering."""
+    pick = random.Random(3)
+    times = [None, "1600-01-01", "1969-12-31 23:59:59.999999", "1970-01-01", "2024-01-01", "2024-01-01 00:00:00.000001"]
+    numbers = [None, 0, 1, 2, 10**18, 2**63 - 1]
+    every = {(k, t, n) for k in range(40) for t, n in [(pick.choice(times), pick.choice(numbers)) for _ in range(3)]}
+    events = frame("k bigint, t timestamp, n bigint, v bigint", *[(*e, i) for i, e in enumerate(sorted(every, key=str))])
+    columns = ["v", "t"]
+    plain = ops.first_event(events.withColumn("s", F.lit("x")), "k", ["t", "n"], [*columns, "s"]).drop("s")
+    fast = ops.first_event(events, "k", ["t", "n"], columns)
+    assert sorted(rows(fast), key=str) == sorted(rows(plain), key=str)
+
+
+def test_first_event_refuses_negative_numbers(frame):
+    events = frame("k bigint, t timestamp, n bigint, v bigint", (1, "2024-01-01", -1, 5))
+    with pytest.raises(Exception, match="n is below zero: -1"):
+        ops.first_event(events, "k", ["t", "n"], ["v"]).collect()
+
+
+def test_return_depth_is_ordered_by_label(frame, rows):
+    """Labels sort as text, so a capped stage follows all numbers."""
+    stages = [(1, 11001), (2, 9000), (3, 12201), (4, 11401), (5, 12401)]
+    progress = frame(
+        "nid bigint, reg_datekey date, datekey date, id_campaign bigint, last_tutorial string",
+        *[(n, day(0), day(0), 0, "tutorial not enter") for n, _ in stages],
+        *[(n, day(0), day(1), stage, "x") for n, stage in stages],
+    )
+    report = plans.return_depth_report(Tables.from_frames({"f_max_campaign": progress}), reg_to=day(9))
+    assert [row[1] for row in rows(report)] == ["11001", "11401", "2월드 진입", "2월드 진입", "9000"]
+
+
 def test_grid_and_densify(spark, frame, rows):
     cells = axis_grid(spark, a=range(1, 4), b=["x", "y"])
     facts = frame("a int, b string, v bigint", (1, "x", 5), (3, "y", 6), (9, "x", 7))

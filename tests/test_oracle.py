@@ -7,11 +7,12 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from checks import oracle, registry
 from checks.compare import connect, difference
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def db():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from functools import partial
 
 import pytest
+from pyspark.sql.types import LongType, StructField, StructType
 
-import __spark_entry__ as driver
-from checks.registry import REPORTS
+from checks.registry import REPORTS, load, queries
 from dayzero import plans
 from dayzero.sources import SCHEMAS, Tables
 
@@ -27,9 +29,9 @@ def stored(spark, tmp_path_factory):
     return Tables.from_files(spark, str(root))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_no_pairs_and_no_python(spark, name):
-    plan = physical(driver.queries()[name](spark, SMALL))
+    plan = physical(queries()[name](spark, SMALL))
     for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
         assert operator not in plan
 
@@ -42,6 +44,12 @@ def test_no_second_distinct_count(stored, name):
 @pytest.mark.parametrize(
     ("report", "scans"),
     [
+        (plans.daily_count_as_of, 1),
+        (plans.register_time_distribution, 2),
+        (plans.minutes_to_stage_clear, 2),
+        (partial(plans.first_login_loading, kind="loose"), 3),
+        (partial(plans.first_login_loading, kind="played"), 3),
+        (partial(plans.first_login_loading, kind="played", countries=None), 2),
         (plans.return_curve_report, 1),
         (plans.return_stats_report, 1),
         (plans.return_depth_report, 1),
@@ -50,8 +58,8 @@ def test_no_second_distinct_count(stored, name):
         (plans.loading_time_engagement, 2),
         (plans.channel_ratio_window, 2),
         (plans.channel_ratio, 4),
-        (plans.channel_revenue_window, 4),
-        (plans.channel_revenue, 4),
+        (plans.channel_revenue_window, 5),  # one of them for the list of channels
+        (plans.channel_revenue, 5),
         (plans.country_month, 2),
         (plans.install_to_login, 4),
         (plans.two_days_played, 2),
@@ -95,6 +103,55 @@ def test_filters_and_columns_reach_the_scan(stored):
     plan = physical(plans.return_depth_report(stored, max_days=7))
     assert "LessThanOrEqual(datekey,2019-10-16)" in plan
 
+    plan = physical(plans.return_curve_report(stored))
+    assert "LessThanOrEqual(datekey,2019-12-15)" in plan
+
+    for plan in map(physical, (plans.channel_revenue(stored), plans.channel_revenue_window(stored))):
+        assert "ReadSchema: struct<network_name:string>" in plan
+
+
+def test_bounds_reach_the_scan_of_epoch_numbers(spark, tmp_path):
+    as_numbers = StructType(
+        [
+            StructField(f.name, LongType() if f.name == "created_at" else f.dataType)
+            for f in SCHEMAS["adjust_conversion"]
+        ]
+    )
+    spark.createDataFrame([], as_numbers).write.parquet(str(tmp_path / "adjust_conversion"))
+    tables = Tables.from_files(spark, str(tmp_path), schemas={"adjust_conversion": as_numbers})
+    report = plans.daily_count_as_of(tables, as_of=dt.datetime(2019, 10, 20))
+    plan = physical(report)
+    assert "GreaterThanOrEqual(created_at,1564617600)" in plan
+    assert "LessThanOrEqual(created_at,1571529600)" in plan
+    assert report.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["loose", "played"])
+def test_first_logins_are_not_sorted(stored, kind):
+    assert "SortAggregate" not in physical(plans.first_login_loading(stored, kind))
+
+
+def test_minutes_join_within_a_day(stored):
+    plan = physical(plans.minutes_to_stage_clear(stored))
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and all("nid" in line and "day" in line for line in joins)
+
+
+def test_adapter_joins_on_users_only(spark):
+    """Nothing but the bounded list of cut users is broadcast on request, and
+    no event is looked up by its number."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in Tables.names():
+            plan = physical(getattr(load(spark, SMALL), name))
+            joins = [line for line in plan.splitlines() if "Join [" in line]
+            assert not any("event_id" in line for line in joins), name
+            asked = plan.count("BroadcastExchange")
+            assert asked == plan.count("BroadcastHashJoin") <= 2, name
+            assert "_slices" in plan or not asked, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
 
 def test_partition_pruning_by_day(spark, tmp_path):
     days = spark.createDataFrame(
@@ -106,12 +163,12 @@ def test_partition_pruning_by_day(spark, tmp_path):
     tables = Tables.from_files(spark, str(tmp_path))
     report = plans.return_depth_report(tables, reg_to="2019-09-01", max_days=7)
     plan = physical(report)
-    assert "PartitionFilters: [isnotnull(datekey" in plan or "(datekey" in plan
-    assert "<= 2019-09-08" in plan
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert filters and all("(datekey" in f and "<= 2019-09-08" in f for f in filters)
 
 
 def test_rank_limit_before_the_shuffle(spark):
-    plan = physical(driver.queries()["k10_snapshot_as_of"](spark, SMALL))
+    plan = physical(queries()["k10_snapshot_as_of"](spark, SMALL))
     assert plan.count("WindowGroupLimit") == 2
 
 

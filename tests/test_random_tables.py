@@ -54,7 +54,7 @@ def random_tables(seed: int) -> dict[str, pa.Table]:
 
     def payload():
         return pick.choice(
-            ["UNDEFINED", None, "a", "a,xx;y", "v,;1"]
+            ["UNDEFINED", None, "a", "a,xx;y", "v,;1", "v,-5;1", "v,-250000;2", "v,1.5;1"]
             + [f"v,{pick.randint(0, 1_200_000)};{pick.randint(0, 9)}" for _ in range(8)]
         )
 
@@ -80,7 +80,7 @@ def random_tables(seed: int) -> dict[str, pa.Table]:
             _id=pick.randint(1, 60),
             nid=pick.choice(users),
             _i_t=moment(),
-            loading_time_ms=pick.choice([None, pick.randint(0, 1_000_000)]),
+            loading_time_ms=pick.choice([None, -700, -1, pick.randint(0, 1_000_000)]),
         )
         | device(),
         "common_installed": lambda: dict(_id=pick.randint(1, 30), _i_t=moment()) | device(),

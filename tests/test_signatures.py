@@ -40,7 +40,7 @@ REPORTS = [
         ["reg_datekey", "network_name", "reg_UU", "not_play_UU"],
     ),
     (plans.revenue_by_age, {}, AGE),
-    (plans.revenue_by_age, {"horizon": 36, "min_reg": "2019-09-01"}, AGE),
+    (plans.recent_revenue_by_age, {}, AGE),
     (plans.stage_transitions_played, {}, ["diff_0", "diff_1", "UU"]),
     (plans.stage_transitions_not_entered, {}, ["diff_0", "diff_1", "UU"]),
     (
@@ -77,8 +77,8 @@ def empty(spark):
 def test_columns(empty, report, arguments, columns):
     result = report(empty, **arguments)
     assert result.columns == columns
-    cells = arguments.get("horizon", 81) * 14
-    assert result.count() == (cells if report is plans.revenue_by_age else 0)
+    days = {plans.revenue_by_age: 81, plans.recent_revenue_by_age: 36}.get(report, 0)
+    assert result.count() == days * 14
 
 
 def test_default_snapshot_is_two_days_old(spark, frame, rows):
