@@ -29,6 +29,8 @@ STEP, MOST = 24, 3_800
 WORDS_PER_BLOCK = 2 * BLOCK_IDS + 64
 PLAIN, CODED = 0, 1
 HEADER = struct.Struct("<BBHII")
+UP_TO = np.tril(np.ones((NIBBLE, NIBBLE), np.float32))
+FULL, SMALL, HALF = np.uint64(0xFFFFFFFF), np.uint64(1 << 16), np.uint64(16)
 
 
 def _squash_table() -> np.ndarray:
@@ -57,34 +59,34 @@ class _Writer:
         self.used = np.zeros(lanes, np.int64)
         self.full = np.zeros(lanes, bool)
 
-    def code(self, at, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        """Narrow the lanes `at` (an index array, or a slice) to [start, start + size) units."""
-        low = self.low[at] + start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
-        over = low >> np.uint64(32) != 0
-        lanes = np.arange(at.stop) if isinstance(at, slice) else at
+    def narrow(self, lanes: np.ndarray, low: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """Low ends and ranges after narrowing to [start, start + size) units; all are unsigned 64-bit numbers."""
+        low = low + start * unit
+        width = size * unit
+        over = low > FULL
         if over.any():
-            low[over] &= np.uint64(0xFFFFFFFF)
+            low[over] &= FULL
             carry, back = lanes[over], 1
             while len(carry):
                 place = self.used[carry] - back
                 self.words[carry, place] += np.uint16(1)
                 carry, back = carry[self.words[carry, place] == 0], back + 1
-        small = width < np.uint64(1 << 16)
-        if small.any():
-            out = lanes[small]
-            self.words[out, self.used[out]] = low[small] >> np.uint64(16)
-            self.used[out] += 1
-            self._limit(out)
-            low[small] = (low[small] & np.uint64(0xFFFF)) << np.uint64(16)
-            width[small] <<= np.uint64(16)
-        self.low[at], self.range[at] = low, width
+        small = np.flatnonzero(width < SMALL)
+        if len(small):
+            out, own = lanes[small], low[small]
+            place = self.used[out]
+            self.words[out, place] = own >> HALF
+            self.used[out] = place + 1
+            if int(place.max()) >= WORDS_PER_BLOCK - 5:
+                self._limit(out)
+            low[small] = (own << HALF) & FULL
+            width[small] <<= HALF
+        return low, width
 
     def _limit(self, lanes: np.ndarray) -> None:
-        if int(self.used[lanes].max()) >= WORDS_PER_BLOCK - 4:
-            beyond = lanes[self.used[lanes] >= WORDS_PER_BLOCK - 4]
-            self.full[beyond] = True  # such a block is stored plainly
-            self.used[beyond] = 8
+        beyond = lanes[self.used[lanes] >= WORDS_PER_BLOCK - 4]
+        self.full[beyond] = True  # such a block is stored plainly
+        self.used[beyond] = 8
 
     def done(self) -> list[bytes | None]:
         for shift in (16, 0):
@@ -96,24 +98,26 @@ class _Writer:
 
 class _Reader:
     def __init__(self, coded: list[bytes]):
-        most = max(len(c) // 2 for c in coded) + 2
+        most = max(len(c) // 2 for c in coded) + 8
         self.words = np.zeros((len(coded), most), np.uint64)
         for i, c in enumerate(coded):
             self.words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
         self.low = self.words[:, 0] << np.uint64(16) | self.words[:, 1]  # the code less the range's start
         self.range = np.full(len(coded), 1 << 32, np.uint64)
         self.used = np.full(len(coded), 2, np.int64)
+        self.last = most - 1  # damaged blocks may ask for more words than there are
 
-    def take(self, at, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        low = self.low[at] - start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
-        small = width < np.uint64(1 << 16)
-        if small.any():
-            lanes = np.arange(at.stop)[small] if isinstance(at, slice) else at[small]
-            low[small] = low[small] << np.uint64(16) | self.words[lanes, np.minimum(self.used[lanes], self.words.shape[1] - 1)]
-            self.used[lanes] += 1
-            width[small] <<= np.uint64(16)
-        self.low[at], self.range[at] = low, width
+    def narrow(self, lanes: np.ndarray, low: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray):
+        low = low - start * unit
+        width = size * unit
+        small = np.flatnonzero(width < SMALL)
+        if len(small):
+            out = lanes[small]
+            place = self.used[out]
+            low[small] = low[small] << HALF | self.words[out, np.minimum(place, self.last)]
+            self.used[out] = place + 1
+            width[small] <<= HALF
+        return low, width
 
 
 class _Model:
@@ -138,7 +142,7 @@ class _Model:
         lane, one = self.lane[:n], self.one[:n]
         at1 = lane * SLOTS1 + ((one * 40_503 >> 4) & (SLOTS1 - 1))
         at2 = lane * SLOTS2 + (((one * 40_503 + self.two[:n] * 30_011) >> 3) & (SLOTS2 - 1))
-        c1, c2, k1, k2 = self.ids1[at1], self.ids2[at2], self.sure1[at1], self.sure2[at2]
+        c1, c2, k1, k2 = self.ids1.take(at1), self.ids2.take(at2), self.sure1.take(at1), self.sure2.take(at2)
         best = np.where(k2 > 0, c2, c1)
         hit = self._mixed(n, None if ids is None else ids == best, k1, k2, c1 == c2, coder)
         out = best.astype(np.int64) if ids is None else ids
@@ -167,64 +171,66 @@ class _Model:
         lane = self.lane[:n]
         places = (lane * 8 + k2, lane * 16 + k1 + 8 * agree, lane * 4 + self.recent[:n])
         tables = (self.by2, self.by1, self.by0)
-        chances = [t[p] for t, p in zip(tables, places, strict=True)]
-        votes = [STRETCH[c] for c in chances]
+        chances = [t.take(p) for t, p in zip(tables, places, strict=True)]
+        votes = [STRETCH.take(c) for c in chances]
         total = sum(w[:n] * v for w, v in zip(self.weights, votes, strict=True)) >> 16
-        chance = SQUASH[np.clip(total, -2047, 2047) + 2047]
-        unit = coder.range[:n] >> np.uint64(12)
-        edge = chance.astype(np.uint64)
-        if hit is None:
-            hit = coder.low[:n] < edge * unit
-            coder.take(slice(0, n), np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance), unit)
-        else:
-            coder.code(slice(0, n), np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance), unit)
-        goal = hit.astype(np.int32) * 4095
+        chance = SQUASH.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
+        hit = self._decided(lane, slice(0, n), chance, hit, coder)
+        goal = hit * np.int32(4095)
         wrong = goal - chance
         for w, v in zip(self.weights, votes, strict=True):
-            w[:n] = np.clip(w[:n] + (v * wrong >> 9), -200_000, 200_000)
+            w[:n] = np.minimum(np.maximum(w[:n] + (v * wrong >> 9), -200_000), 200_000)
         for table, place, own, rate in zip(tables, places, chances, (4, 4, 5), strict=True):
-            table[place] = np.clip(own + ((goal - own) >> rate), 24, 4071)
+            table[place] = np.minimum(np.maximum(own + ((goal - own) >> rate), 24), 4071)
         self.recent[:n] = (self.recent[:n] << 1 & 3) | hit
         return hit
 
+    @staticmethod
+    def _decided(lanes, at, chance, yes, coder) -> np.ndarray:
+        """One decision per lane, with the chance of yes out of 4096; at: where the lanes are in the coder."""
+        low, unit = coder.low[at], coder.range[at] >> np.uint64(12)
+        edge = chance.astype(np.uint64)
+        if yes is None:
+            yes = low < edge * unit
+        start, size = np.where(yes, 0, edge), np.where(yes, edge, np.uint64(4096) - edge)
+        coder.low[at], coder.range[at] = coder.narrow(lanes, low, unit, start.astype(np.uint64), size)
+        return yes
+
     def _asked(self, at, yes, k1, coder) -> np.ndarray:
         place = at * 8 + k1
         chance = self.other[place]
-        unit = coder.range[at] >> np.uint64(12)
-        if yes is None:
-            yes = coder.low[at] < chance.astype(np.uint64) * unit
-            coder.take(at, np.where(yes, 0, chance), np.where(yes, chance, 4096 - chance), unit)
-        else:
-            coder.code(at, np.where(yes, 0, chance), np.where(yes, chance, 4096 - chance), unit)
-        self.other[place] = np.clip(chance + ((yes.astype(np.int32) * 4095 - chance) >> 5), 24, 4071)
+        yes = self._decided(at, at, chance, yes, coder)
+        self.other[place] = np.clip(chance + ((yes * np.int32(4095) - chance) >> 5), 24, 4071)
         return yes
 
     def _plain(self, at, ids, coder) -> np.ndarray:
         """Ids in nibbles, the highest first, each by the frequencies of the table that the earlier ones lead to."""
         before = np.zeros(len(at), np.int64)
         rows = np.arange(len(at))
+        low, width = coder.low[at], coder.range[at]
+        flat = self.counts.reshape(-1)
+        first = at * (self.nibbles * TABLES)
         for k in range(self.nibbles):
-            table = (at * self.nibbles + k) * TABLES + ((before * 37) & (TABLES - 1))
-            counts = self.counts[table]
-            ends = np.cumsum(counts, axis=1, dtype=np.int32)
-            whole = ends[:, -1]
-            unit = (coder.range[at] / whole).astype(np.uint64)
+            table = first + k * TABLES + ((before * 37) & (TABLES - 1))
+            counts = self.counts.take(table, axis=0)
+            # Running totals by a product with a triangle of ones; these whole numbers are exact in 32-bit floats.
+            ends = UP_TO @ counts.T.astype(np.float32)
+            whole = ends[-1]
+            unit = (width / whole).astype(np.uint64)
             if ids is None:
-                value = np.minimum((coder.low[at] / unit).astype(np.int64), whole - 1)
-                nibble = (ends <= value[:, None]).sum(axis=1)
+                value = np.minimum((low / unit).astype(np.uint32), (whole - 1).astype(np.uint32))
+                nibble = np.add.reduce(ends <= value.astype(np.float32), axis=0, dtype=np.uint8).astype(np.int64)
             else:
                 nibble = ids >> 4 * (self.nibbles - 1 - k) & 15
-            size = counts[rows, nibble].astype(np.int64)
-            start = ends[rows, nibble] - size
-            if ids is None:
-                coder.take(at, start, size, unit)
-            else:
-                coder.code(at, start, size, unit)
-            self.counts[table, nibble] += np.uint16(STEP)
-            large = whole > MOST
-            if large.any():
-                self.counts[table[large]] = (self.counts[table[large]] + np.uint16(1)) >> np.uint16(1)
+            size = counts.reshape(-1).take(rows * NIBBLE + nibble)
+            start = ends.reshape(-1).take(nibble * len(at) + rows) - size
+            low, width = coder.narrow(at, low, unit, start.astype(np.uint64), size.astype(np.uint64))
+            flat[table * NIBBLE + nibble] = size + np.uint16(STEP)
+            large = table[whole > MOST]
+            if len(large):
+                self.counts[large] = (self.counts[large] + np.uint16(1)) >> np.uint16(1)
             before = before << 4 | nibble
+        coder.low[at], coder.range[at] = low, width
         return before
 
     @staticmethod
