@@ -292,7 +292,8 @@ def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: i
         "near-families",
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = texts.join(placed, F.col("id") == F.col("p_id"))
+    # The texts in families grow with the table, so their list is not to be broadcast at any size.
+    texts = texts.join(placed.hint("merge"), F.col("id") == F.col("p_id"))
     texts = texts.withColumn("part", F.explode(_block_pairs(F.col("block"), F.col("n_blocks"))))
     return texts.select("family", "part", "id", "text").groupBy("family", "part").applyInPandas(
         _confirm(width, percent), "a long, b long"
