@@ -44,7 +44,7 @@ GRADES = len(GRADE_HITS) + 1
 BEGINNINGS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose features a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -207,12 +207,12 @@ def train(
     return Model(dict(zip(names, done["weights"], strict=True)), tuple(done["thresholds"]))
 
 
-def _scoring(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scoring(model: Model | None, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for batch in batches:
             above = []
-            for text in batch.column(1):
+            for text in batch.column(0).field(text_at):
                 text = text.as_py()
                 own = scorer.above(text) if scorer and text else [0.0] * GRADES
                 above.append(own)
@@ -233,6 +233,11 @@ def _scoring(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def grade_documents(docs: DataFrame, model: Model | None, carried: list[str], text_col: str = "text") -> DataFrame:
     """row (struct of the carried columns), severity, grade (the median one), p_toxic and toxic of every row."""
-    read = docs.select(F.struct(*[F.col(c) for c in carried]).alias("row"), F.col(text_col).alias("text"))
+    # The text is sent once: with the carried columns if it is one of them, else behind them and dropped again.
+    sent = [*carried, *([] if text_col in carried else [text_col])]
+    read = docs.select(F.struct(*[F.col(c) for c in sent]).alias("row"))
     row_type = read.schema["row"].dataType.simpleString()
-    return read.mapInArrow(_scoring(model), f"row {row_type}, severity double, grade int, p_toxic double, toxic boolean")
+    scored = read.mapInArrow(
+        _scoring(model, sent.index(text_col)), f"row {row_type}, severity double, grade int, p_toxic double, toxic boolean"
+    )
+    return scored if sent == carried else scored.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in carried]))
