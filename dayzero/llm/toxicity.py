@@ -38,7 +38,7 @@ GRADE_HITS = (2, 5)
 #: A feature is telling if this share of the texts that hold it is toxic, of at least TELLING_TEXTS.
 TELLING_SHARE, TELLING_TEXTS = 0.9, 3
 MIN_TEXTS = 3
-PENALTY, STEPS, RATE = 1e-4, 400, 0.1
+PENALTY, STEPS, RATE = 5e-5, 600, 0.1
 TOXIC = 0.5
 GRADES = len(GRADE_HITS) + 1
 BEGINNINGS = (4, 5, 6)
