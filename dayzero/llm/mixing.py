@@ -27,6 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Documents to a range of keys, on average over the table.
 RANGE_ROWS = 1000
+#: Ranges of keys at most, as each source's sums are ordered in one task. Beyond, the sorted ranges hold more documents.
+MAX_RANGES = 1_000_000
 FILL_PASSES = 5
 
 
@@ -102,7 +104,7 @@ def mix(
         ranges = sized.count()
     else:
         ranges = docs.count()
-    ranges = max(1, ranges // RANGE_ROWS)
+    ranges = min(MAX_RANGES, max(1, ranges // RANGE_ROWS))
     sized = sized.withColumn(
         "range", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("long")
     )
