@@ -129,6 +129,8 @@ SEMI JOIN (FROM first_day WHERE strict AND reg_datekey <= {REG_TO}) USING (nid)
 WHERE _i_t < {BEFORE}
 GROUP BY ALL"""
 
+ON_TABLES["s01_stored_tables"] = ON_TABLES["q02_register_time_distribution"]
+
 
 def _minutes(pairs: str, cap: int, over: str) -> str:
     return f"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, partial
 
@@ -28,7 +30,7 @@ from dayzero.functions import (
 from dayzero.operators.engagement import consecutive_day_counts
 from dayzero.operators.grid import axis_grid
 from dayzero.operators.loading import loading_time
-from dayzero.sources import Tables, snapshot_as_of
+from dayzero.sources import SCHEMAS, Tables, snapshot_as_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,6 +298,17 @@ def k16_two_day_matrix(spark, sf_dir):
 # --- families of primitives, on the plain tables -----------------------------
 
 
+def s01_stored_tables(spark, sf_dir):
+    """A report over tables that are written to files and opened from there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stored-")
+    root = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    for name in ("common_register", "f_max_campaign"):
+        table = getattr(load(spark, sf_dir), name)
+        typed = [F.col(field.name).cast(field.dataType) for field in SCHEMAS[name]]
+        table.select(*typed).write.parquet(f"{root}/{name}")
+    return REPORTS["q02_register_time_distribution"](Tables.from_files(spark, root))
+
+
 def s_series(spark, sf_dir):
     month = F.month("o_orderdate").alias("month")
     totals = raw(spark, sf_dir, "orders").groupBy(month).agg(
@@ -577,6 +590,7 @@ OPERATORS: dict[str, Query] = {
         k14_device_funnel,
         k15_minutes_hist,
         k16_two_day_matrix,
+        s01_stored_tables,
         s_series,
         p_predicates,
         p_struct_access,
