@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dayzero.llm import bpe, html_extract, id_files, mixing, near_text, near_vectors, quality, token_counts, toxicity, url_rules
 from dayzero.llm.common import read
+from dayzero.llm.quality_sql import quality_sql
 
 URL_RULES = [
     ("block", "net", "/"),
@@ -37,7 +38,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(read(spark, sf_dir, "documents"), carried=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("row.doc_id", *counts, "base_failed", "distance", "kept")
+    return judged.select("row.doc_id", *counts, "base_failed", "kept")
 
 
 def op6_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,4 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_vectors": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_near_text": OP6_SQL}
+    return {
+        "op2_near_vectors": OP2_SQL,
+        "op3_url_filter": OP3_SQL,
+        "op5_quality_rules": quality_sql(),
+        "op6_near_text": OP6_SQL,
+    }
