@@ -19,7 +19,7 @@ import numpy as np
 
 BLOCK_IDS = 2_048
 #: Blocks that are coded side by side.
-LANES = 2_048
+LANES = 4_096
 SLOTS1, SLOTS2 = 1_024, 2_048
 CONFIDENT = 7
 NIBBLE = 16
