@@ -79,7 +79,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known = dict(self.fixed)
         new = list(set().union(*cut).difference(self.known))
-        for word, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(coded.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
