@@ -2,18 +2,19 @@
 
 The pages of a host are folded into one wrapper: their trees of block elements are aligned by simple tree matching
 (the largest order-preserving matching of children with equal labels), runs of like siblings count as one repeated
-slot, and a node whose own text is the same on every page stays constant. A constant node of enough different pages is
-template; all other nodes are slots and hold content. Pages with equal content count once, so copies do not make a text
-look like template.
+slot, and each node counts its pages and how many of them have which text of its own. Pages whose trees match too little
+are another layout and get a tree of their own. A text that a node has on enough pages and on most pages of a layout, or
+of the host, is template; all other nodes are slots and hold content. Pages with equal content count once, so copies do
+not make a text look like template; pages without content do not count.
 
 From the slots the text of navigation, page headers, footers, asides, forms, adverts, notices, comments, scripts and
 styles is left out, as told by elements, roles, and words of class and id. If what is left lies partly in article
 elements (else main elements), only that part counts. Character references are decoded, white space inside a block
 becomes one space, blocks follow each other in page order with one line feed between them.
 
-Wrappers are folded inside each task of the scan, then per host in two steps, so a host with any number of pages sends a
-few small trees. Their constants meet the pages in a join; Spark broadcasts them if their table is small, and otherwise
-joins by host.
+The pages' bare trees (labels and signatures, no texts) are dealt by host and content, folded inside each task, then per
+host in two steps, so a host with any number of pages is spread over all tasks and each sends a few small trees. The
+constants meet the pages in a join; Spark broadcasts them if their table is small, and otherwise joins by host.
 
 Null or empty html gives an empty text. Pages without a url share one wrapper. Repeated rows are all returned; an empty
 table gives an empty result. Only the id, url and html columns are read, so other columns may have any names. A heading
@@ -26,6 +27,8 @@ import hashlib
 import html as entities
 import pickle
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -38,13 +41,22 @@ from dayzero.llm.common import written
 from dayzero.llm.url_rules import host_of
 
 MIN_PAGES = 5
+#: Part of a layout's pages on which a node must have the same text to be template.
+TEMPLATE_SHARE = 0.8
+#: Part of the nodes of two trees that must match for one layout.
+LIKE = 0.6
+#: Layouts of a host that are told apart; beyond, the two with the fewest pages become one.
+LAYOUTS = 32
+#: Texts that a node counts, by Misra and Gries: a text of most pages is never lost.
+TEXTS = 8
 MAX_DEPTH = 200
 #: Children of a wrapper node beyond which siblings of one label are one slot wherever they stand.
 WIDE = 64
-#: Hosts whose wrappers a task holds before it passes them on.
-HELD_HOSTS = 5_000
+#: Pages of a wrapper from which on its rare nodes are left out: those on fewer than one of RARE pages.
+MANY, RARE = 200, 50
+#: Contents that a task remembers, so that it passes most copies on once.
+HELD_CONTENTS = 100_000
 SALTS = 32
-VARIES = -1
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""",
@@ -112,7 +124,7 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
 
 def _label(tag: str, attributes: str) -> str:
     kind = next((a or b or c for n, a, b, c in ATTRIBUTE.findall(attributes) if n.lower() == "class"), "") if "=" in attributes else ""
-    return f"{tag}.{kind}" if kind else tag
+    return sys.intern(f"{tag}.{kind}" if kind else tag)
 
 
 def _sig(text: str) -> int:
@@ -121,16 +133,17 @@ def _sig(text: str) -> int:
 
 @dataclass(slots=True)
 class Node:
-    """A block element: label, signature of its own text (0: none, -1: varies), children.
+    """A block element: label, children, number of pages, and on how many of them its own text has which signature.
 
     every: on all pages; repeated: stands for a run of like siblings.
     """
 
     label: str
-    sig: int = 0
     children: list[Node] = field(default_factory=list)
     every: bool = True
     repeated: bool = False
+    pages: int = 1
+    sigs: dict[int, int] = field(default_factory=dict)
 
 
 @dataclass(slots=True)
@@ -292,11 +305,20 @@ def match_size(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> int:
         return 0
     known = sizes.get((id(a), id(b)))
     if known is None:
-        table = _table(a, b, sizes)
-        known = sizes[id(a), id(b)] = 1 + table[-1][-1]
+        if _aligned(a, b):
+            known = 1 + sum(match_size(x, y, sizes) for x, y in zip(a.children, b.children, strict=True))
+        else:
+            known = 1 + _table(a, b, sizes)[-1][-1]
+        sizes[id(a), id(b)] = known
     return known
 
 
+def _aligned(a: Node, b: Node) -> bool:
+    """Children with the same labels in the same order, each once: the largest matching is plain."""
+    labels = [c.label for c in a.children]
+    return labels == [c.label for c in b.children] and len(set(labels)) == len(labels)
+
+
 def _table(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[list[int]]:
     table = [[0] * (len(b.children) + 1)]
     for x in a.children:
@@ -310,9 +332,13 @@ def _table(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[list[int
 def merge(a: Node, b: Node, run: bool = False, sizes: dict | None = None) -> Node:
     """One wrapper for both trees, whose roots have equal labels; run: they are siblings of one page."""
     sizes = {} if sizes is None else sizes
-    table = _table(a, b, sizes)
     out: list[Node] = []
     i, j = len(a.children), len(b.children)
+    if _aligned(a, b):
+        out = [merge(x, y, run, sizes) for x, y in zip(reversed(a.children), reversed(b.children), strict=True)]
+        i = j = 0
+    else:
+        table = _table(a, b, sizes)
     while i or j:
         if i and j and table[i][j] == table[i - 1][j - 1] + (size := match_size(a.children[i - 1], b.children[j - 1], sizes)) and size:
             i, j = i - 1, j - 1
@@ -329,53 +355,114 @@ def merge(a: Node, b: Node, run: bool = False, sizes: dict | None = None) -> Nod
             children[-1] = merge(children[-1], child, run=True)
         else:
             children.append(child)
+    pages = max(a.pages, b.pages) if run else a.pages + b.pages
     return Node(
         a.label,
-        a.sig if a.sig == b.sig and not run else VARIES,
-        _narrow(children),
+        _frequent(_narrow(children), pages),
         a.every and b.every,
         run or a.repeated or b.repeated,
+        pages,
+        {} if run or a.repeated or b.repeated else _summed(a.sigs, b.sigs),
     )
 
 
 def _optional(node: Node) -> Node:
-    return Node(node.label, node.sig, node.children, False, node.repeated)
+    return Node(node.label, node.children, False, node.repeated, node.pages, node.sigs)
+
+
+def _frequent(children: list[Node], pages: int) -> list[Node]:
+    """children without the rare ones, which would pile up where labels differ from page to page."""
+    if pages < MANY:
+        return children
+    return [c for c in children if c.pages * RARE >= pages]
 
 
-def page_wrapper(root: Node, blocks: list[Block]) -> tuple[Node, frozenset[int]]:
-    """A page's own wrapper and the signature of its content."""
+def _summed(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    if len(a) == 1 and a.keys() == b.keys():
+        return {sig: n + b[sig] for sig, n in a.items()}
+    both = Counter(a)
+    both.update(b)
+    if len(both) <= TEXTS:
+        return dict(both)
+    less = sorted(both.values(), reverse=True)[TEXTS]
+    return {sig: n - less for sig, n in both.items() if n > less}
+
+
+def page_wrapper(root: Node, blocks: list[Block]) -> list[Node]:
+    """A page's own wrapper: a single layout."""
     own: dict[int, list[Block]] = {}
     for b in blocks:
         own.setdefault(id(b.node), []).append(b)
     for parts in own.values():
-        parts[0].node.sig = _sig("\n".join(b.text for b in parts))
-    content = _sig("\n".join(b.text for b in blocks if not b.aside))
-    return collapse(root), frozenset([content])
-
-
-def join_wrappers(a: tuple[Node, frozenset[int]], b: tuple[Node, frozenset[int]]) -> tuple[Node, frozenset[int]]:
-    """Wrapper of both; the contents are counted up to MIN_PAGES different ones, which is all that is asked of them."""
-    if b[1] <= a[1] and len(a[1]) < MIN_PAGES:
-        return a
-    return merge(a[0], b[0]), frozenset(sorted(a[1] | b[1])[:MIN_PAGES])
-
-
-def constants(wrapper: tuple[Node, frozenset[int]]) -> list[tuple[int, int]]:
-    """(path, signature) of the template's texts."""
-    root, contents = wrapper
-    if len(contents) < MIN_PAGES:
-        return []
-    found, todo = [], [(root, hash_path(0, "#page"))]
-    while todo:
-        node, path = todo.pop()
-        if not node.every or node.repeated:
-            continue
-        if node.sig > 0:
-            found.append((path, node.sig))
-        todo += [(c, hash_path(path, c.label)) for c in node.children]
+        parts[0].node.sigs = {_sig("\n".join(b.text for b in parts)): 1}
+    return [collapse(root)]
+
+
+def page_content(blocks: list[Block]) -> int:
+    """Signature of a page's content, 0 if it has none."""
+    return _sig("\n".join(b.text for b in blocks if not b.aside))
+
+
+def _core(node: Node, pages: int) -> int:
+    """Nodes on at least half of the pages."""
+    return 1 + sum(_core(c, pages) for c in node.children if 2 * c.pages >= pages)
+
+
+def _likeness(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> float:
+    return 2 * match_size(a, b, sizes) / (_core(a, a.pages) + _core(b, b.pages))
+
+
+def join_wrappers(a: list[Node], b: list[Node]) -> list[Node]:
+    """Wrapper of both: each layout of b joins the first of a that is like it, or else comes after them."""
+    out = list(a)
+    for own in b:
+        for i, known in enumerate(out):
+            sizes: dict[tuple[int, int], int] = {}
+            if _likeness(known, own, sizes) >= LIKE:
+                out[i] = merge(known, own, sizes=sizes)
+                break
+        else:
+            out.append(own)
+        out.sort(key=lambda layout: -layout.pages)
+        if len(out) > LAYOUTS:
+            out[-2:] = [merge(out[-2], out[-1])]
+    return out
+
+
+def constants(wrapper: list[Node]) -> list[tuple[int, int]]:
+    """(path, signature) of the template's texts: of each layout, and of all layouts together."""
+    found: set[tuple[int, int]] = set()
+    whole = wrapper[0]
+    for layout in wrapper[1:]:
+        whole = merge(whole, layout)
+    for root in [whole, *wrapper[: len(wrapper) if len(wrapper) > 1 else 0]]:
+        enough = max(MIN_PAGES, TEMPLATE_SHARE * root.pages)
+        todo = [(root, hash_path(0, "#page"))]
+        while todo:
+            node, path = todo.pop()
+            if node.repeated or node.pages < enough:
+                continue
+            found |= {(path, sig) for sig, n in node.sigs.items() if n >= enough}
+            todo += [(c, hash_path(path, c.label)) for c in node.children]
     return sorted(found)
 
 
+def _packed(node: Node) -> tuple:
+    return node.label, [_packed(c) for c in node.children], node.every, node.repeated, node.pages, node.sigs
+
+
+def _unpacked(label: str, children: list, *rest) -> Node:
+    return Node(label, [_unpacked(*c) for c in children], *rest)
+
+
+def to_bytes(wrapper: list[Node]) -> bytes:
+    return pickle.dumps([_packed(layout) for layout in wrapper], pickle.HIGHEST_PROTOCOL)
+
+
+def from_bytes(blob: bytes) -> list[Node]:
+    return [_unpacked(*layout) for layout in pickle.loads(blob)]
+
+
 def main_text(blocks: list[Block], template: set[tuple[int, int]]) -> str:
     own: dict[int, list[str]] = {}
     if template:
@@ -392,33 +479,54 @@ def main_text(blocks: list[Block], template: set[tuple[int, int]]) -> str:
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host and constants (pickled (path, signature) pairs) of every host with template text."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Node, frozenset[int]]] = {}
-
-        def passed_on() -> pa.RecordBatch:
-            rows = {"host": list(held), "wrapper": [pickle.dumps(w) for w in held.values()]}
-            held.clear()
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), ("wrapper", pa.binary())]))
-
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str | None, int]] = set()
         for batch in batches:
+            rows: dict[str, list] = {"host": [], "content": [], "wrapper": []}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = page_wrapper(*parse(page))
-                held[host] = join_wrappers(held[host], own) if host in held else own
-            if len(held) > HELD_HOSTS:
-                yield passed_on()
-        if held:
-            yield passed_on()
-
-    def joined(wrappers: list[bytes]) -> tuple[Node, frozenset[int]]:
-        out = None
+                root, blocks = parse(page)
+                content = page_content(blocks)
+                if not content or (host, content) in seen:
+                    continue
+                if len(seen) >= HELD_CONTENTS:
+                    seen.clear()
+                seen.add((host, content))
+                rows["host"].append(host)
+                rows["content"].append(content)
+                rows["wrapper"].append(to_bytes(page_wrapper(root, blocks)))
+            yield pa.RecordBatch.from_pydict(
+                rows, schema=pa.schema([("host", pa.string()), ("content", pa.int64()), ("wrapper", pa.binary())])
+            )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by host and content."""
+        schema = pa.schema([("host", pa.string()), ("wrapper", pa.binary())])
+        last, held = None, None
+        for batch in batches:
+            done: dict[str, list] = {"host": [], "wrapper": []}
+            for host, content, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is not None and last == (host, content):
+                    continue
+                if held is not None and last[0] != host:
+                    done["host"].append(last[0])
+                    done["wrapper"].append(to_bytes(held))
+                    held = None
+                last = host, content
+                held = from_bytes(blob) if held is None else join_wrappers(held, from_bytes(blob))
+            yield pa.RecordBatch.from_pydict(done, schema=schema)
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"host": [last[0]], "wrapper": [to_bytes(held)]}, schema=schema)
+
+    def joined(wrappers: list[bytes]) -> list[Node]:
+        out: list[Node] = []
         for blob in sorted(wrappers):
-            out = pickle.loads(blob) if out is None else join_wrappers(out, pickle.loads(blob))
+            out = join_wrappers(out, from_bytes(blob))
         return out
 
     def part(key, rows):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [pickle.dumps(joined(list(rows["wrapper"])))]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [to_bytes(joined(list(rows["wrapper"])))]})
 
     def whole(key, rows):
         import pandas as pd
@@ -427,7 +535,9 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         return pd.DataFrame({"host": [key[0]], "constants": [pickle.dumps(found) if found else None]})
 
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parts = read.mapInArrow(fold, "host string, wrapper binary").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    parts = read.mapInArrow(trees, "host string, content long, wrapper binary").repartition("host", "content")
+    parts = parts.sortWithinPartitions("host", "content", "wrapper").mapInArrow(fold, "host string, wrapper binary")
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     parts = parts.groupBy("host", "salt").applyInPandas(part, "host string, wrapper binary")
     return parts.groupBy("host").applyInPandas(whole, "host string, constants binary").where("constants is not null")
 

@@ -96,3 +96,25 @@ def test_headings_of_articles_stay():
     found = hx.constants(wrapper)
     assert len(found) == 2
     assert text("<div>Menu</div><article><h1>Same title</h1><p>text 9</article>", found) == "Same title\ntext 9"
+
+
+def test_odd_pages_do_not_switch_off_the_template(spark, rows):
+    other = [(2000 + i, "http://many.net/o", f"<table><tr><td>Other {i}<td>Column</table><h3>Note</h3><ul><li>{i}</ul>") for i in range(2)]
+    odd = [(1000, "http://many.net/n", None), (1001, "http://many.net/e", ""), *other]
+    copies = [(3000 + i, "http://many.net/c", "<div class=top>All stories</div><div class=body><h4>Copy</h4></div>") for i in range(9000)]
+    table = spark.createDataFrame(pages_of("many.net", 1000) + odd + copies, "page_id long, url string, html string")
+    got = {r[0]: r[2] for r in rows(hx.extract_text(table.repartition(7)))}
+    assert all(got[i] == f"Story {i}\nof many.net" for i in range(1000))
+    assert [got[1000], got[1001], got[2000]] == ["", "", "Other 0\nColumn\nNote\n0"]
+    assert {got[3000 + i] for i in range(9000)} == {"Copy"}
+
+
+def test_layouts_of_a_host_have_templates_of_their_own():
+    first = "<div class=top>Stories</div><div class=body><h2>{}</h2></div><div class=end>End</div>"
+    second = "<table><tr><td>Shop</table><ul><li><h3>{}</h3></ul><section>Pay</section><dl><dt>Price</dl>"
+    wrapper = None
+    for i in range(30):
+        own = hx.page_wrapper(*hx.parse((second if i % 3 else first).format(i)))
+        wrapper = hx.join_wrappers(wrapper, own) if wrapper else own
+    found = hx.constants(wrapper)
+    assert text(first.format("x"), found) == text(second.format("x"), found) == "x"
