@@ -1,12 +1,15 @@
 """Main text of web pages by wrapper induction.
 
 The pages of a host are folded into one wrapper: their trees of block elements are aligned by simple tree matching
-(the largest order-preserving matching of children with equal labels), runs of like siblings count as one repeated
-slot, and each node counts its pages and how many of them have which text of its own. Pages whose trees match too little
+(the largest order-preserving matching of children with equal labels) and each node counts its pages and how many of them have which text of its own. Pages whose trees match too little
 are another layout and get a tree of their own. A text that a node has on enough pages and on most pages of a layout, or
 of the host, is template; all other nodes are slots and hold content. Pages with equal content count once, so copies do
 not make a text look like template; pages without content do not count.
 
+A label is an element's tag, class and id (digits of an id do not count). Siblings of one label are told apart by their
+place, counted from the first and from the last, so they stay slots of their own even where their number varies. Only
+paragraphs of one parent, and what lies more than EDGE siblings of its label from both ends, are one repeated slot.
+
 From the slots the text of navigation, page headers, footers, asides, forms, adverts, notices, comments, scripts and
 styles is left out, as told by elements, roles, and words of class and id. If what is left lies partly in article
 elements (else main elements), only that part counts. Character references are decoded, white space inside a block
@@ -54,6 +57,8 @@ MAX_DEPTH = 200
 WIDE = 64
 #: Pages of a wrapper from which on its rare nodes are left out: those on fewer than one of RARE pages.
 MANY, RARE = 200, 50
+#: Siblings of one label that keep a place of their own, from the first on and from the last back.
+EDGE = 8
 #: Contents that a task remembers, so that it passes most copies on once.
 HELD_CONTENTS = 100_000
 SALTS = 32
@@ -63,6 +68,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 # Fixed values of the HTML standard.
@@ -89,6 +95,7 @@ ENDS = {
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
+PARAGRAPH = re.compile(r"p(?![^.#])")
 P_BOUNDS = {"button", "table", "td", "th", "caption", "template", "object"}
 
 # What is no main text: elements, roles, and words of class and id.
@@ -123,8 +130,14 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def _label(tag: str, attributes: str) -> str:
-    kind = next((a or b or c for n, a, b, c in ATTRIBUTE.findall(attributes) if n.lower() == "class"), "") if "=" in attributes else ""
-    return sys.intern(f"{tag}.{kind}" if kind else tag)
+    kind = name = ""
+    if "=" in attributes:
+        for n, a, b, c in ATTRIBUTE.findall(attributes):
+            if n.lower() == "class":
+                kind = kind or a or b or c
+            elif n.lower() == "id":
+                name = name or DIGITS.sub("0", a or b or c)
+    return sys.intern(tag + (f".{kind}" if kind else "") + (f"#{name}" if name else ""))
 
 
 def _sig(text: str) -> int:
@@ -135,7 +148,7 @@ def _sig(text: str) -> int:
 class Node:
     """A block element: label, children, number of pages, and on how many of them its own text has which signature.
 
-    every: on all pages; repeated: stands for a run of like siblings.
+    every: on all pages; repeated: stands for a run of like siblings; path: labels from the root, of a page's node.
     """
 
     label: str
@@ -144,13 +157,13 @@ class Node:
     repeated: bool = False
     pages: int = 1
     sigs: dict[int, int] = field(default_factory=dict)
+    path: int = 0
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     node: Node
-    path: int
     region: int  # 2 inside an article, 1 inside main, 0 elsewhere
     aside: bool
     heading: bool
@@ -160,7 +173,6 @@ class Block:
 class _Open:
     tag: str
     node: Node
-    path: int
     aside: bool
     region: int
     block: bool
@@ -169,7 +181,7 @@ class _Open:
 def parse(page: str | None) -> tuple[Node, list[Block]]:
     """The tree of block elements and the blocks of text, in page order. Texts are not yet signed."""
     root = Node("#page")
-    stack = [_Open("#page", root, hash_path(0, "#page"), False, 0, True)]
+    stack = [_Open("#page", root, False, 0, True)]
     blocks: list[Block] = []
     pending: list[str] = []
 
@@ -180,7 +192,7 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
             if text:
                 # An inline element may be set aside too; it shares the node of the block around it.
                 top = stack[-1]
-                blocks.append(Block(text, top.node, top.path, top.region, top.aside, any(o.tag in HEADINGS for o in stack[-2:])))
+                blocks.append(Block(text, top.node, top.region, top.aside, any(o.tag in HEADINGS for o in stack[-2:])))
 
     def close(index: int) -> None:
         aside = stack[index - 1].aside
@@ -262,36 +274,50 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
             aside = top.aside or ((attributes or tag in ASIDE_TAGS or tag == "header") and _is_aside(tag, attributes, top.region == 2))
             if aside != top.aside:
                 flush()
-            node, path = top.node, top.path
+            node = top.node
             if block and len(stack) <= MAX_DEPTH:
-                label = _label(tag, attributes)
-                node, path = Node(label), hash_path(top.path, label)
+                node = Node(_label(tag, attributes))
                 top.node.children.append(node)
-            stack.append(_Open(tag, node, path, aside, region, block))
+            stack.append(_Open(tag, node, aside, region, block))
     flush()
+    _place(root, hash_path(0, "#page"))
     return root, blocks
 
 
+def _place(node: Node, path: int) -> None:
+    """Paths of the tree's nodes; siblings of one label get their place into the label."""
+    node.path = path
+    of_label = Counter(c.label for c in node.children)
+    nth: Counter[str] = Counter()
+    for child in node.children:
+        label, n = child.label, of_label[child.label]
+        if n > 1 and PARAGRAPH.match(label) is None:
+            i = nth[label]
+            nth[label] += 1
+            # The first one has the same label as an only one.
+            if i and i < min(EDGE, (n + 1) // 2):
+                child.label = sys.intern(f"{label}@{i + 1}")
+            elif i:
+                child.label = sys.intern(f"{label}@-{n - i}" if n - i <= EDGE else f"{label}@")
+        _place(child, hash_path(path, child.label))
+
+
 @lru_cache(maxsize=100_000)
 def hash_path(parent: int, label: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{parent}/{label}".encode("utf-8", "replace"), digest_size=7).digest(), "big")
 
 
 def collapse(node: Node) -> Node:
-    """The tree with runs of like siblings folded into one repeated slot."""
-    out: list[Node] = []
-    for child in map(collapse, node.children):
-        if out and out[-1].label == child.label:
-            out[-1] = merge(out[-1], child, run=True)
-        else:
-            out.append(child)
-    node.children = _narrow(out)
+    """The tree with siblings of equal label and place folded into one repeated slot."""
+    node.children = _folded([collapse(child) for child in node.children])
     return node
 
 
 def _narrow(children: list[Node]) -> list[Node]:
-    if len(children) <= WIDE:
-        return children
+    return children if len(children) <= WIDE else _folded(children)
+
+
+def _folded(children: list[Node]) -> list[Node]:
     by_label: dict[str, Node] = {}
     for child in children:
         known = by_label.get(child.label)
@@ -467,11 +493,11 @@ def main_text(blocks: list[Block], template: set[tuple[int, int]]) -> str:
     own: dict[int, list[str]] = {}
     if template:
         for b in blocks:
-            own.setdefault(b.path, []).append(b.text)
+            own.setdefault(b.node.path, []).append(b.text)
         paths = {p for p, texts in own.items() if (p, _sig("\n".join(texts))) in template}
     else:
         paths = set()
-    kept = [b for b in blocks if not b.aside and (b.path not in paths or (b.heading and b.region == 2))]
+    kept = [b for b in blocks if not b.aside and (b.node.path not in paths or (b.heading and b.region == 2))]
     best = max((b.region for b in kept), default=0)
     return "\n".join(b.text for b in kept if b.region == best)
 

@@ -118,3 +118,27 @@ def test_layouts_of_a_host_have_templates_of_their_own():
         wrapper = hx.join_wrappers(wrapper, own) if wrapper else own
     found = hx.constants(wrapper)
     assert text(first.format("x"), found) == text(second.format("x"), found) == "x"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=top>Menu</div><div id=main>{0}</div><div id=bottom>End</div>",
+        "<div>Menu</div><div>{0}</div><div>End</div>",
+        "<div>Menu</div>{1}<div>{0}</div><div>End</div>",
+        "<ul><li>Menu<li>{0}<li>End</ul>",
+        "<section>Menu</section>" + "<h2>{0}</h2><blockquote>{0}</blockquote>" * 80 + "<section>End</section>",
+        "<h2>Menu</h2>" + "<blockquote>{0}</blockquote><h2>{0}</h2>" * 80 + "<blockquote>End</blockquote>",
+        "<div id=post-{0}><div>Menu</div>{0}<div>End</div></div>",
+    ],
+)
+def test_constant_siblings_of_one_label_are_template(page):
+    made = [page.format(f"{i} text", "".join(f"<div>{i} more {j}</div>" for j in range(i % 4))) for i in range(40)]
+    wrapper = None
+    for p in made:
+        own = hx.page_wrapper(*hx.parse(p))
+        wrapper = hx.join_wrappers(wrapper, own) if wrapper else own
+    found = hx.constants(wrapper)
+    for i, p in enumerate(made):
+        got = text(p, found).split("\n")
+        assert "Menu" not in got and "End" not in got and f"{i} text" in got
