@@ -11,8 +11,10 @@ place, counted from the first and from the last, so they stay slots of their own
 paragraphs of one parent, and what lies more than EDGE siblings of its label from both ends, are one repeated slot.
 
 From the slots the text of navigation, page headers, footers, asides, forms, adverts, notices, comments, scripts and
-styles is left out, as told by elements, roles, and words of class and id. If what is left lies partly in article
-elements (else main elements), only that part counts. Character references are decoded, white space inside a block
+styles is left out, as told by elements, roles, and words of class and id. A word that is only part of a class or id
+(has-sidebar) does not set aside an element with most of the page's characters or with its first h1 (on pages without
+h1, its longest article or main). If article elements, else main elements, else both together hold at least half of the
+words or characters that are left, only that part counts. Character references are decoded, white space inside a block
 becomes one space, blocks follow each other in page order with one line feed between them.
 
 The pages' bare trees (labels and signatures, no texts) are dealt by host and content, folded inside each task, then per
@@ -111,22 +113,31 @@ ASIDE_WORDS = set(
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+NO, PARTLY, YES = 0, 1, 2
+
+
+def _is_aside(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is set aside; PARTLY if only a part of a class or id says so."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
-        return True
+        return YES
     if "=" not in attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return NO
+    found = NO
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if name == "role" and value.strip().lower() in ASIDE_ROLES:
-            return True
+            return YES
         if name in ("class", "id"):
             for item in value.split():
                 words = {w.lower() for w in TOKEN.findall(item)}
-                if words & ASIDE_WORDS or ("header" in words and (len(words) == 1 or words & {"site", "page"}) and not in_article):
-                    return True
-    return False
+                if "header" in words and (len(words) == 1 or words & {"site", "page"}) and not in_article:
+                    return YES
+                if words & ASIDE_WORDS:
+                    if len(words) == 1:
+                        return YES
+                    found = PARTLY
+    return found
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -160,13 +171,23 @@ class Node:
     path: int = 0
 
 
+@dataclass(slots=True, eq=False)
+class Part:
+    """An element that may be set aside, or an article or main: those of the former around it, and its characters."""
+
+    around: tuple[Part, ...] = ()
+    chars: int = 0
+
+
 @dataclass(slots=True)
 class Block:
     text: str
     node: Node
-    region: int  # 2 inside an article, 1 inside main, 0 elsewhere
+    region: int  # 2 inside an article, plus 1 inside main
     aside: bool
     heading: bool
+    parts: tuple[Part, ...] = ()
+    story: Part | None = None
 
 
 @dataclass(slots=True)
@@ -176,6 +197,8 @@ class _Open:
     aside: bool
     region: int
     block: bool
+    parts: tuple[Part, ...] = ()
+    story: Part | None = None
 
 
 def parse(page: str | None) -> tuple[Node, list[Block]]:
@@ -184,6 +207,8 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
     stack = [_Open("#page", root, False, 0, True)]
     blocks: list[Block] = []
     pending: list[str] = []
+    title: tuple[Part, ...] | None = None
+    stories: list[Part] = []
 
     def flush() -> None:
         if pending:
@@ -192,11 +217,11 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
             if text:
                 # An inline element may be set aside too; it shares the node of the block around it.
                 top = stack[-1]
-                blocks.append(Block(text, top.node, top.region, top.aside, any(o.tag in HEADINGS for o in stack[-2:])))
+                blocks.append(Block(text, top.node, top.region, top.aside, any(o.tag in HEADINGS for o in stack[-2:]), top.parts, top.story))
 
     def close(index: int) -> None:
-        aside = stack[index - 1].aside
-        if any(o.block or o.aside != aside for o in stack[index:]):
+        aside, parts = stack[index - 1].aside, stack[index - 1].parts
+        if any(o.block or o.aside != aside or o.parts != parts for o in stack[index:]):
             flush()
         del stack[index:]
 
@@ -270,20 +295,47 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
             if attributes.endswith("/") and not block:
                 continue
             top = stack[-1]
-            region = max(top.region, 2 if tag == "article" else 1 if tag == "main" or "articleBody" in attributes else 0)
-            aside = top.aside or ((attributes or tag in ASIDE_TAGS or tag == "header") and _is_aside(tag, attributes, top.region == 2))
-            if aside != top.aside:
+            region = top.region | (2 if tag == "article" else 1 if tag == "main" or "articleBody" in attributes else 0)
+            told = _is_aside(tag, attributes, top.region >= 2) if attributes or tag in ASIDE_TAGS or tag == "header" else NO
+            aside = top.aside or told == YES
+            parts, story = top.parts, top.story
+            if told == PARTLY and not aside:
+                parts = (*parts, Part())
+            if aside != top.aside or parts != top.parts:
                 flush()
+            if tag in ("article", "main") and not aside:
+                story = Part(parts)
+                stories.append(story)
+            elif tag == "h1" and not aside and title is None:
+                title = parts
             node = top.node
             if block and len(stack) <= MAX_DEPTH:
                 node = Node(_label(tag, attributes))
                 top.node.children.append(node)
-            stack.append(_Open(tag, node, aside, region, block))
+            stack.append(_Open(tag, node, aside, region, block, parts, story))
     flush()
+    _set_aside(blocks, title, stories)
     _place(root, hash_path(0, "#page"))
     return root, blocks
 
 
+def _set_aside(blocks: list[Block], title: tuple[Part, ...] | None, stories: list[Part]) -> None:
+    """Decide on the parts that may be set aside: not those with most of the text, or the title, or else the longest story."""
+    if not any(b.parts for b in blocks):
+        return
+    total = 0
+    for b in blocks:
+        if not b.aside:
+            total += len(b.text)
+            for part in b.parts:
+                part.chars += len(b.text)
+            if b.story:
+                b.story.chars += len(b.text)
+    holders = title if title is not None else max(stories, key=lambda s: s.chars).around if stories else ()
+    for b in blocks:
+        b.aside = b.aside or any(part not in holders and 2 * part.chars <= total for part in b.parts)
+
+
 def _place(node: Node, path: int) -> None:
     """Paths of the tree's nodes; siblings of one label get their place into the label."""
     node.path = path
@@ -497,9 +549,20 @@ def main_text(blocks: list[Block], template: set[tuple[int, int]]) -> str:
         paths = {p for p, texts in own.items() if (p, _sig("\n".join(texts))) in template}
     else:
         paths = set()
-    kept = [b for b in blocks if not b.aside and (b.node.path not in paths or (b.heading and b.region == 2))]
-    best = max((b.region for b in kept), default=0)
-    return "\n".join(b.text for b in kept if b.region == best)
+    kept = [b for b in blocks if not b.aside and (b.node.path not in paths or (b.heading and b.region >= 2))]
+    for region in (2, 1, 3):
+        part = [b for b in kept if b.region & region]
+        if _most(part, kept):
+            kept = part
+            break
+    return "\n".join(b.text for b in kept)
+
+
+def _most(part: list[Block], whole: list[Block]) -> bool:
+    """Whether a part has at least half of the words, or of the characters of languages without blanks."""
+    if not part or len(part) == len(whole):
+        return bool(part)
+    return any(2 * sum(map(size, part)) >= sum(map(size, whole)) for size in (lambda b: len(b.text.split()), lambda b: len(b.text)))
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

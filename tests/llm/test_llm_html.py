@@ -142,3 +142,26 @@ def test_constant_siblings_of_one_label_are_template(page):
     for i, p in enumerate(made):
         got = text(p, found).split("\n")
         assert "Menu" not in got and "End" not in got and f"{i} text" in got
+
+
+LONG = "one two three four five six seven eight"
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<main><p>{LONG}</main><article class=card>teaser</article>", LONG),
+        (f"<main><p>{LONG}<article class=card>teaser</article></main><div>out</div>", f"{LONG}\nteaser"),
+        (f"<div><p>{LONG}</div><article class=card>teaser</article>", f"{LONG}\nteaser"),
+        (f"<article><p>{LONG}</article><article>two</article><div>out</div>", f"{LONG}\ntwo"),
+        ("<article>文章文章文章文章文章文章</article><div>a b c</div>", "文章文章文章文章文章文章"),
+        (f"<div class='content has-sidebar'><p>{LONG}</div>", LONG),
+        (f"<div class=no-sidebar><div class=comments-open><p>{LONG}<div class=share-box>no</div></div></div>", LONG),
+        (f"<div class=with-cookie-notice><h1>T</h1><p>x</div><div>{LONG}</div>", f"T\nx\n{LONG}"),
+        (f"<div class=has-sidebar><article>x y</article></div><div>{LONG}</div>", f"x y\n{LONG}"),
+        (f"<div><h1>T</h1><p>{LONG}</div><div class=related-posts><article>no</article></div>", f"T\n{LONG}"),
+        (f"<p>x<div class=sidebar>{LONG}</div>", "x"),
+    ],
+)
+def test_main_texts_are_not_dropped_by_a_teaser_or_a_class(page, expected):
+    assert text(page) == expected
