@@ -1,9 +1,11 @@
 """Quality rules: counts of a text, two fixed limits, and robust multivariate outliers per language and source.
 
 The outliers are found by minimum covariance determinant. Each document's counts become a vector of six transformed
-rates. For each language and source a centre and covariance are fitted to the three quarters of its documents that lie
-closest together: from medians and quartile ranges, then by concentration steps (fit, measure, keep the closest), then
-refitted once to all documents within the 97.5 % distance. A document is rejected if its squared Mahalanobis distance is
+rates. For each language and source a centre and covariance are fitted to the half of its different texts that lie
+closest together, so junk that is alike may hold any smaller part: from the medians, with quartile ranges, median
+deviations or the floors as spreads, by concentration steps (fit, measure, keep the closest). Of the
+three the fit with the smallest determinant is refitted once to all texts within the 97.5 % distance. Equal texts count
+once. A document is rejected if its squared Mahalanobis distance is
 above `cutoff`. A floor is added to each variance, so a rate that hardly varies does not make harmless texts outliers.
 
 Every step is one aggregate: documents are counted with their moments in ranges of distance, and the ranges are summed
@@ -31,8 +33,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 
-SUBSET = 0.75
-STEPS = 3
+SUBSET = 0.5
+STEPS = 6
 MIN_GROUP = 50
 #: Squared distance above which a document is rejected; the chi-squared law with 6 degrees exceeds it once in 10 million.
 CUTOFF = 45.0
@@ -135,13 +137,14 @@ def vector() -> list[Column]:
 
 
 def count_documents(docs: DataFrame, carried: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """row, lang, source, the counts, base_failed and the vector x0.. of every row."""
+    """row, text_hash, lang, source, the counts, base_failed and the vector x0.. of every row."""
     counted = docs.select(
         F.struct(*[F.col(c) for c in carried]).alias("row"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
         F.col(lang_col).alias("lang"),
         F.col(source_col).alias("source"),
         text_counts(F.col(text_col)).alias("counts"),
-    ).select("row", "lang", "source", "counts.words.*", "counts.lines.*", "counts.chars.*")
+    ).select("row", "text_hash", "lang", "source", "counts.words.*", "counts.lines.*", "counts.chars.*")
     counted = counted.withColumn("n_others", F.col("word_chars") - F.col("n_letters") - F.col("n_symbols"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(vector())})
@@ -194,30 +197,52 @@ def _groups(rows: DataFrame, min_group: int) -> DataFrame:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and quartile range of each number, as the first centre and spread; to the nearest 0.005."""
+    """First centres and spreads, to the nearest 0.005: medians, and one start each for three spreads of each number.
+
+    A third of alike documents moves a quartile, but not the median of the deviations; the floors alone are the third.
+    """
     steps = 200
     pieces = rows.select("gid", F.posexplode(F.array(*[F.round(F.col(f"x{i}") * steps) for i in DIMS])).alias("dim", "bin"))
     bins = pieces.groupBy("gid", "dim", "bin").agg(F.count("*").alias("n"))
-    through = F.sum("n").over(Window.partitionBy("gid", "dim").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("gid", "dim"))
-    bins = bins.withColumn("through", through).withColumn("total", total)
 
     def quantile(share: float) -> Column:
         return F.min(F.when(F.col("through") >= share * F.col("total"), F.col("bin"))) / steps
 
-    quartiles = bins.groupBy("gid", "dim").agg(
-        quantile(0.5).alias("middle"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("spread")
+    def placed(bins: DataFrame) -> DataFrame:
+        through = F.sum("n").over(Window.partitionBy("gid", "dim").orderBy("bin"))
+        total = F.sum("n").over(Window.partitionBy("gid", "dim"))
+        return bins.withColumn("through", through).withColumn("total", total)
+
+    quartiles = placed(bins).groupBy("gid", "dim").agg(
+        quantile(0.5).alias("middle"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("spread0")
+    )
+    off = bins.join(quartiles, ["gid", "dim"]).withColumn("bin", F.abs(F.col("bin") - F.round(F.col("middle") * steps)))
+    off = placed(off.groupBy("gid", "dim", "bin").agg(F.sum("n").alias("n")))
+    off = off.groupBy("gid", "dim").agg((quantile(0.5) / 0.6745).alias("spread1"))
+    starts = quartiles.join(off, ["gid", "dim"]).select(
+        "gid", "dim", "middle", F.posexplode(F.array("spread0", "spread1", F.lit(0.0))).alias("start", "spread")
     )
     out = []
     for i, floor in enumerate(FLOORS):
         own = F.col("dim") == i
         out.append(F.max(F.when(own, F.col("middle"))).alias(f"m{i}"))
         out.append(F.sqrt(F.max(F.when(own, F.col("spread") * F.col("spread"))) + floor * floor).alias(f"l{i}_{i}"))
-    return quartiles.groupBy("gid").agg(*out).withColumns({f"l{i}_{j}": F.lit(0.0) for i in DIMS for j in range(i)})
+    return starts.groupBy("gid", "start").agg(*out).withColumns({f"l{i}_{j}": F.lit(0.0) for i in DIMS for j in range(i)})
+
+
+def _best(fits: DataFrame) -> DataFrame:
+    """Each group's fit with the smallest determinant; starts that end alike are taken in their order."""
+    numbers = [c for c in fits.columns if c not in ("gid", "start")]
+    size = F.round(sum((F.log(F.col(f"l{i}_{i}")) for i in DIMS), F.lit(0.0)), 9)
+    best = fits.groupBy("gid").agg(F.min_by(F.struct(*numbers), F.struct(size, "start")).alias("best"))
+    return best.select("gid", "best.*")
 
 
 def _measured(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """rows with d2, the squared distance from their group's centre, by forward substitution in the Cholesky factor."""
+    """rows with d2, the squared distance from their group's centre, by forward substitution in the Cholesky factor.
+
+    Once for each start, if the fits are of several.
+    """
     rows = rows.join(fits.withColumnRenamed("gid", "f_gid"), F.col("gid") == F.col("f_gid"), "left")
     for i in DIMS:
         left = F.col(f"x{i}") - F.col(f"m{i}")
@@ -226,11 +251,12 @@ def _measured(rows: DataFrame, fits: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"z{i}", left / F.col(f"l{i}_{i}"))
     squares = [F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS]
     rows = rows.withColumn("d2", sum(squares[1:], squares[0]))
-    return rows.drop("f_gid", *[f"z{i}" for i in DIMS], *[c for c in fits.columns if c != "gid"])
+    return rows.drop("f_gid", *[f"z{i}" for i in DIMS], *[c for c in fits.columns if c not in ("gid", "start")])
 
 
 def _fit(measured: DataFrame, share: float | None, within: float | None, scale: float) -> DataFrame:
     """Centre and Cholesky factor of each group's documents: its closest share, or those within a distance."""
+    keys = [c for c in ("gid", "start") if c in measured.columns]
     pairs = [(i, j) for i in DIMS for j in range(i + 1)]
     if within is None:
         rows = measured.withColumn("range", F.floor(F.log1p("d2") * 20))
@@ -239,13 +265,13 @@ def _fit(measured: DataFrame, share: float | None, within: float | None, scale:
     sums = {"n": F.count("*").cast("double")}
     sums |= {f"s{i}": F.sum(f"x{i}") for i in DIMS}
     sums |= {f"q{i}_{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs}
-    ranges = rows.groupBy("gid", "range").agg(*[c.alias(k) for k, c in sums.items()])
+    ranges = rows.groupBy(*keys, "range").agg(*[c.alias(k) for k, c in sums.items()])
     if share is not None:
-        nearer = Window.partitionBy("gid").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        total = F.sum("n").over(Window.partitionBy("gid"))
-        ranges = ranges.select("gid", "range", total.alias("total"), *[F.sum(k).over(nearer).alias(k) for k in sums])
+        nearer = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        total = F.sum("n").over(Window.partitionBy(*keys))
+        ranges = ranges.select(*keys, "range", total.alias("total"), *[F.sum(k).over(nearer).alias(k) for k in sums])
         enough = ranges.where(F.col("n") >= share * F.col("total"))
-        ranges = enough.groupBy("gid").agg(F.min_by(F.struct(*sums), "range").alias("first")).select("gid", "first.*")
+        ranges = enough.groupBy(*keys).agg(F.min_by(F.struct(*sums), "range").alias("first")).select(*keys, "first.*")
     fit = ranges.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in DIMS})
     for i, j in pairs:
         cov = (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
@@ -255,7 +281,7 @@ def _fit(measured: DataFrame, share: float | None, within: float | None, scale:
             cov = cov - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
         # The floors keep the matrix positive; the bound only meets rounding.
         fit = fit.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-8))) if i == j else cov / F.col(f"l{j}_{j}"))
-    return fit.select("gid", *[f"m{i}" for i in DIMS], *[f"l{i}_{j}" for i, j in pairs])
+    return fit.select(*keys, *[f"m{i}" for i in DIMS], *[f"l{i}_{j}" for i, j in pairs])
 
 
 def judge_quality(
@@ -273,14 +299,15 @@ def judge_quality(
     known = counted.join(
         groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     ).drop("g_lang", "g_source")
-    vectors = written(
-        known.where(~F.col("base_failed") & F.col("fitted")).select("gid", *[f"x{i}" for i in DIMS]), "quality-vectors"
-    )
+    different = known.where(~F.col("base_failed") & F.col("fitted")).dropDuplicates(["gid", "text_hash"])
+    vectors = written(different.select("gid", *[f"x{i}" for i in DIMS]), "quality-vectors")
     fits = written(_start(vectors), "quality-fits")
     scale = consistency(SUBSET, len(FLOORS))
-    for step in range(STEPS):
-        fit = _fit(_measured(vectors, fits), SUBSET, None, scale if step == STEPS - 1 else 1.0)
-        fits = written(fit, "quality-fits")
+    for _ in range(STEPS - 1):
+        fits = written(_fit(_measured(vectors, fits), SUBSET, None, 1.0), "quality-fits")
+    # Written before they are compared: the nested expressions of the factor would be planned again inside the aggregate.
+    fits = written(_fit(_measured(vectors, fits), SUBSET, None, scale), "quality-fits")
+    fits = written(_best(fits), "quality-fits")
     near = chi2_quantile(0.975, len(FLOORS))
     fits = written(_fit(_measured(vectors, fits), None, near, consistency(0.975, len(FLOORS))), "quality-fits")
     judged = _measured(known, fits)

@@ -123,3 +123,13 @@ def test_main_path_is_native(spark, docs, prose):
 def test_chi_squared():
     assert q.chi2_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05), rel=1e-9)
     assert 1 - q.chi2_below(q.CUTOFF, 6) < 1e-7
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_a_third_of_alike_junk_goes(docs, prose, alike):
+    words = [f"w{i}{'abcdefgh'[: i % 8]}" for i in range(300)]
+    clean = [prose(random.Random(i).randint(30, 80), words) for i in range(200)]
+    junk = [" ".join(f"{w}##" for w in prose(40, words).split()) for _ in range(100)]
+    data = clean + ([junk[0]] * 100 if alike else junk)
+    got = judged(docs, [(t, "en", "a") for t in data])
+    assert [i for i, r in got.items() if r.kept] == sorted(range(200), key=list(got).index)
