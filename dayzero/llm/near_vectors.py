@@ -99,7 +99,7 @@ def fit_grid(units: np.ndarray, n_words: int, threshold: float, recall: float) -
     half = units.shape[1] // 2
     n_words = min(n_words, len(units))
     grid = Grid(_codebook(units[:, :half], n_words), _codebook(units[:, half:], n_words), 1)
-    one = np.resize(units, (PAIRS, units.shape[1]))
+    one = units[np.linspace(0, len(units) - 1, PAIRS).astype(int)]
     noise = np.random.default_rng(3).normal(size=one.shape)
     noise -= (noise * one).sum(1, keepdims=True) * one
     noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)

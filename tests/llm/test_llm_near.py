@@ -190,3 +190,13 @@ def test_visits_are_the_nearest_cells():
         visits = grid.visits(units[:50], n)
         assert visits.shape == (50, min(n, 64))
         np.testing.assert_allclose(np.take_along_axis(sums, visits, 1), np.sort(sums, axis=1)[:, : visits.shape[1]], atol=1e-12)
+
+
+def test_visited_cells_follow_the_whole_sample():
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=(1, 32)) + 0.02 * rng.normal(size=(4000, 32))
+    wide = rng.normal(size=(4000, 32))
+    for units in (np.concatenate([tight, wide]), np.concatenate([wide, tight])):
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        # From the first 2,000 rows alone it is 30 and 16.
+        assert near_vectors.fit_grid(units, 32, 0.95, 0.998).n_visits >= 25
