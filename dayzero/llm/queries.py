@@ -7,7 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayzero.llm import bpe, html_extract, id_files, mixing, near_text, near_vectors, quality, token_counts, toxicity, url_rules
+from dayzero.llm import (
+    bpe,
+    byte_bpe,
+    filter_audit,
+    html_extract,
+    id_files,
+    mixing,
+    near_text,
+    near_vectors,
+    quality,
+    token_counts,
+    toxicity,
+    url_rules,
+)
 from dayzero.llm.common import read
 from dayzero.llm.quality_sql import quality_sql
 
@@ -67,6 +80,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carried=["doc_id"])
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE rows AS (
     SELECT row_number() OVER () AS nr, vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -145,7 +168,20 @@ FROM texts t LEFT JOIN sizes USING (doc_id) JOIN smallest USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_near_vectors, op3_url_filter, op4_token_counts, op5_quality_rules, op6_near_text, op7_mix_sources, op8_id_files, op9_toxicity, op10_bpe]
+    found = [
+        op1_html_text,
+        op2_near_vectors,
+        op3_url_filter,
+        op4_token_counts,
+        op5_quality_rules,
+        op6_near_text,
+        op7_mix_sources,
+        op8_id_files,
+        op9_toxicity,
+        op10_bpe,
+        op12_byte_bpe,
+        op13_filter_audit,
+    ]
     return {q.__name__: q for q in found}
 
 
@@ -155,4 +191,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": OP3_SQL,
         "op5_quality_rules": quality_sql(),
         "op6_near_text": OP6_SQL,
+        "op13_filter_audit": filter_audit.AUDIT_SQL,
     }

@@ -121,7 +121,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_everything_is_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and set(queries.oracle_sql()) <= set(names)
 
 
@@ -130,7 +130,7 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.queries()[name](spark, SF)
     expected = con.sql(queries.oracle_sql()[name])
