@@ -16,6 +16,7 @@ from dayzero.llm import (
     mixing,
     near_text,
     near_vectors,
+    prefix_trie,
     quality,
     token_counts,
     toxicity,
@@ -80,6 +81,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.encode_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carried=["doc_id"])
@@ -179,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_id_files,
         op9_toxicity,
         op10_bpe,
+        op11_prefix_trie,
         op12_byte_bpe,
         op13_filter_audit,
     ]
@@ -191,5 +197,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": OP3_SQL,
         "op5_quality_rules": quality_sql(),
         "op6_near_text": OP6_SQL,
+        "op11_prefix_trie": prefix_trie.TRIE_SQL,
         "op13_filter_audit": filter_audit.AUDIT_SQL,
     }
