@@ -122,6 +122,26 @@ WHERE make_timestamp(created_at::BIGINT * 1000000) <= TIMESTAMP '2024-01-08 12:0
       BETWEEN DATE '2024-01-02' AND DATE '2024-01-10'
 GROUP BY ALL"""
 
+
+
+def _versions(state: str) -> str:
+    """The daily count of what the history's commits made of the conversions."""
+    return f"""
+, timed AS (
+  SELECT *, make_timestamp(created_at::BIGINT * 1000000) AS made FROM adjust_conversion
+), second_commit AS (
+  SELECT made + to_days(if(nid % 7 = 0, 1, 0)) AS made FROM timed
+  WHERE made < TIMESTAMP '2024-01-08' AND nid % 13 <> 0
+), third_commit AS (
+  SELECT made FROM timed WHERE made < TIMESTAMP '2024-01-11' AND nid % 4 <> 1
+)
+SELECT made::DATE AS datekey, count(*) AS cnt_2 FROM {state}
+WHERE made::DATE BETWEEN DATE '2024-01-02' AND DATE '2024-01-10' GROUP BY ALL"""
+
+
+ON_TABLES["q01_daily_count_versioned"] = _versions("second_commit")
+ON_TABLES["q01_daily_count_versioned_late"] = _versions("third_commit")
+
 ON_TABLES["q02_register_time_distribution"] = f"""
 SELECT hour(_i_t) AS "Hour", minute(_i_t) AS min, count(DISTINCT nid) AS UU
 FROM common_register
@@ -356,8 +376,9 @@ ON_TABLES["q10_channel_revenue_window"] = _revenue(
 )
 ON_TABLES["q11_channel_revenue_all"] = _revenue("", "network_name", "", "")
 
-ON_TABLES["q12_weekly_not_entered"] = """
-SELECT strftime(m.reg_datekey, '%U')::BIGINT AS reg_datekey, m.network_name,
+def _not_entered(period: str) -> str:
+    return f"""
+SELECT {period} AS reg_datekey, m.network_name,
        count(DISTINCT m.nid) AS reg_UU,
        count(DISTINCT m.nid) FILTER (EXISTS (
          FROM first_day AS d
@@ -366,6 +387,11 @@ FROM f_user_map AS m WHERE m.nru = 1
 GROUP BY 1, 2"""
 
 
+ON_TABLES["q12_weekly_not_entered"] = _not_entered("strftime(m.reg_datekey, '%U')::BIGINT")
+ON_TABLES["q12_weekly_from_fold"] = ON_TABLES["q12_weekly_not_entered"]
+ON_TABLES["q12_monthly_from_fold"] = _not_entered("month(m.reg_datekey)")
+
+
 def _cumulative(horizon: int, channels, default: str, where: str = "true") -> str:
     return f"""
 , cells AS (
@@ -500,6 +526,9 @@ GROUP BY model"""
 ON_TABLES["q23_device_funnel"] = _funnel(f"_i_t < {BEFORE}")
 ON_TABLES["k14_device_funnel"] = _funnel("true")
 
+for _name in ("q04_return_curve", "q17_return_stats", "q18_return_depth"):
+    ON_TABLES[f"{_name[:3]}_from_state"] = ON_TABLES[_name]
+
 ON_TABLES["k01_day0_cohort"] = f"""
 SELECT reg_datekey, nid FROM first_day WHERE strict AND reg_datekey BETWEEN {REG_FROM} AND {REG_TO}"""
 ON_TABLES["k02_first_return"] = f"""
@@ -597,6 +626,32 @@ SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
        round(max_by(o_totalprice, (o_orderdate, o_orderkey)), 6) AS o_totalprice,
        max(o_orderdate)::DATE AS day
 FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY o_custkey""",
+    "k10_history_as_of": """
+WITH newest AS (
+  SELECT m AS made, o_custkey, o_orderkey, o_totalprice
+  FROM orders JOIN (SELECT unnest([TIMESTAMP '1994-01-01', TIMESTAMP '1996-01-01', TIMESTAMP '1998-01-01']) AS m)
+    ON o_orderdate <= m AND NOT (m = TIMESTAMP '1998-01-01' AND o_custkey % 10 = 3)
+  QUALIFY row_number() OVER (PARTITION BY m, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+)
+SELECT 'ever' AS moment, o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice
+FROM (SELECT DISTINCT o_custkey, o_orderkey, o_totalprice FROM newest)
+UNION ALL
+SELECT '1995-06-30', o_custkey, o_orderkey, round(o_totalprice, 6) FROM newest WHERE year(made) = 1994
+UNION ALL
+SELECT '1998-06-30', o_custkey, o_orderkey, round(o_totalprice, 6) FROM newest WHERE year(made) = 1998""",
+    "k10_as_of_join": """
+WITH last_of_time AS (
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1
+)
+SELECT l_suppkey, count(*) AS lines, count(o_orderkey) AS with_order,
+       sum(o_orderkey)::BIGINT AS order_keys, round(sum(o_totalprice), 2) AS prices
+FROM lineitem ASOF LEFT JOIN last_of_time ON o_custkey = l_suppkey AND o_orderdate <= l_shipdate
+GROUP BY l_suppkey""",
+    "w_running_orders": """
+SELECT o_orderkey, o_orderpriority,
+       round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey
+                                     ROWS UNBOUNDED PRECEDING), 2) AS running
+FROM orders""",
     "k11_first_event": """
 SELECT o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import lru_cache, partial
@@ -30,7 +29,14 @@ from dayzero.functions import (
 from dayzero.operators.engagement import consecutive_day_counts
 from dayzero.operators.grid import axis_grid
 from dayzero.operators.loading import loading_time
-from dayzero.sources import SCHEMAS, Tables, snapshot_as_of
+from dayzero.sources import (
+    SCHEMAS,
+    HistoryFiles,
+    StateFiles,
+    Tables,
+    shared_folder,
+    snapshot_as_of,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +68,10 @@ def since_epoch(unit: str, column: str) -> Column:
     return F.timestamp_diff(unit, as_timestamp("1970-01-01"), F.col(column))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @lru_cache(maxsize=4)
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables of a folder, opened once per session (plans, not data)."""
@@ -295,13 +305,148 @@ def k16_two_day_matrix(spark, sf_dir):
     )
 
 
+# --- versions and states on plain files ---------------------------------------
+
+
+def _versioned(as_of: dt.datetime) -> Query:
+    """The daily count over a history of three commits: a first load, corrected
+    and deleted rows, and a complete copy that lacks some rows."""
+
+    def build(spark, sf_dir):
+        root = new_folder(spark, "history")
+        keys = ["nid", "network_name"]
+        schema = SCHEMAS["adjust_conversion"]
+        history = HistoryFiles(spark, f"{root}/adjust_conversion", schema, keys)
+        conversions = load(spark, sf_dir).adjust_conversion
+        seconds = F.col("created_at").cast("long")
+
+        def created(before: str) -> DataFrame:
+            moment = dt.datetime.fromisoformat(before).replace(tzinfo=dt.timezone.utc)
+            return conversions.filter(seconds < int(moment.timestamp()))
+
+        def user(rest: int, of: int) -> Column:
+            return F.col("nid") % of == rest
+
+        history.commit(created("2024-01-05"), "2024-01-05")
+        moved = F.when(user(0, 7), seconds + 86400).otherwise(seconds).cast("string")
+        changed = created("2024-01-08").filter(~user(0, 13)).withColumn("created_at", moved)
+        gone = created("2024-01-08").filter(user(0, 13)).select(*keys)
+        history.commit(changed, "2024-01-08", deleted=gone)
+        history.commit(created("2024-01-11").filter(~user(1, 4)), "2024-01-11", complete=True)
+        tables = Tables.from_files(spark, root, histories={"adjust_conversion": keys})
+        window = {"first": dt.date(2024, 1, 2), "last": dt.date(2024, 1, 10)}
+        return plans.daily_count_as_of(tables, **window, as_of=as_of, versioned=True)
+
+    return build
+
+
+def k10_history_as_of(spark, sf_dir):
+    """Newest order per customer as three complete commits saw it, at two moments
+    between them, and all rows that ever held."""
+    orders = raw(spark, sf_dir, "orders")
+    schema = "o_custkey bigint, o_orderkey bigint, o_totalprice double"
+    history = HistoryFiles(spark, new_folder(spark, "history"), schema, ["o_custkey"])
+    for moment in ("1994-01-01", "1996-01-01", "1998-01-01"):
+        newest = snapshot_as_of(
+            orders, "o_orderdate", as_timestamp(moment), ["o_custkey"], ["o_orderkey"]
+        )
+        kept = F.lit(True) if moment != "1998-01-01" else F.col("o_custkey") % 10 != 3
+        history.commit(newest.filter(kept), moment, complete=True)
+    ever = history.history().select(F.lit("ever").alias("moment"), *history.schema.names)
+    for moment in ("1995-06-30", "1998-06-30"):
+        held = history.as_of(moment).select(F.lit(moment).alias("moment"), "*")
+        ever = ever.unionByName(held)
+    return ever
+
+
+def k10_as_of_join(spark, sf_dir):
+    """Lines with the newest order, by their shipping day, of the customer who has
+    the supplier's number."""
+    lines = raw(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
+    orders = raw(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("l_suppkey"), "o_orderdate", "o_orderkey", "o_totalprice"
+    )
+    joined = ops.as_of_join(
+        lines, orders, ["l_suppkey"], "l_shipdate", "o_orderdate", ["o_orderkey"]
+    )
+    return joined.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count("o_orderkey").alias("with_order"),
+        F.sum("o_orderkey").alias("order_keys"),
+        F.round(F.sum("o_totalprice"), 2).alias("prices"),
+    )
+
+
+def w_running_orders(spark, sf_dir):
+    """Running totals over all orders of a priority: five keys with all the rows."""
+    orders = raw(spark, sf_dir, "orders").select(
+        "o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice"
+    )
+    running = ops.running_total_in_blocks(
+        orders, "o_totalprice", ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "running"
+    )
+    return running.select("o_orderkey", "o_orderpriority", F.round("running", 2).alias("running"))
+
+
+def _from_fold(period: Callable[[], Column]) -> Query:
+    """The weekly report's counts by some period, from a stored fold by day."""
+
+    def build(spark, sf_dir):
+        path = new_folder(spark, "fold")
+        plans.not_entered_fold(load(spark, sf_dir)).write.parquet(path)
+        return plans.not_entered_by(spark.read.parquet(path), period())
+
+    return build
+
+
+def _kept_state(spark, sf_dir) -> DataFrame:
+    """The return state of the log's first days, then moved on day by day."""
+    progress = load(spark, sf_dir).f_max_campaign
+    files = StateFiles(spark, new_folder(spark, "state"))
+    cuts = ["2024-01-06", "2024-01-07", "2024-01-08", "2030-01-01"]
+    for since, until in zip(["2000-01-01", *cuts], cuts):
+        days = (F.col("datekey") >= F.lit(since)) & (F.col("datekey") < F.lit(until))
+        files.advance(ops.return_state(progress.filter(days)), until, ops.advance)
+    return files.read()
+
+
+def q04_from_state(spark, sf_dir):
+    return plans.return_curve_from_state(_kept_state(spark, sf_dir), REG_TO)
+
+
+def q17_from_state(spark, sf_dir):
+    return plans.return_stats_from_state(_kept_state(spark, sf_dir), REG_TO)
+
+
+def q18_from_state(spark, sf_dir):
+    return plans.return_depth_from_state(_kept_state(spark, sf_dir), REG_TO)
+
+
+KEPT: dict[str, Query] = {
+    "q01_daily_count_versioned": _versioned(dt.datetime(2024, 1, 9, 12)),
+    "q01_daily_count_versioned_late": _versioned(dt.datetime(2024, 1, 12)),
+    "q12_weekly_from_fold": _from_fold(lambda: week_of_year("reg_datekey")),
+    "q12_monthly_from_fold": _from_fold(lambda: F.month("reg_datekey")),
+    **{
+        build.__name__: build
+        for build in (
+            k10_history_as_of,
+            k10_as_of_join,
+            w_running_orders,
+            q04_from_state,
+            q17_from_state,
+            q18_from_state,
+        )
+    },
+}
+
+
 # --- families of primitives, on the plain tables -----------------------------
 
 
 def s01_stored_tables(spark, sf_dir):
     """A report over tables that are written to files and opened from there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stored-")
-    root = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stored")
     for name in ("common_register", "f_max_campaign"):
         table = getattr(load(spark, sf_dir), name)
         typed = [F.col(field.name).cast(field.dataType) for field in SCHEMAS[name]]
@@ -642,5 +787,5 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf_dir: report(load(spark, sf_dir))
 
     reports = {name: on_tables(report) for name, report in REPORTS.items()}
-    everything = {**reports, **OPERATORS, **SOURCES}
+    everything = {**reports, **OPERATORS, **KEPT, **SOURCES}
     return {name: finished(build) for name, build in everything.items()}

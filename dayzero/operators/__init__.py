@@ -6,8 +6,10 @@ a large part of the rows never reaches one task whole).  Joins, windows and
 counts then work on those rows, and a distinct-user count is a plain count.
 """
 
+from dayzero.operators.blocks import as_of_join, running_total_in_blocks
 from dayzero.operators.channels import attribute, user_payments
 from dayzero.operators.cohorts import COHORTS, cohort_members, day0_cohort
+from dayzero.operators.distinct import distinct_counts, distinct_fold, number_users
 from dayzero.operators.engagement import consecutive_day_counts, two_day_matrix
 from dayzero.operators.first_event import first_event
 from dayzero.operators.funnel import device_funnel
@@ -23,10 +25,13 @@ from dayzero.operators.returns import (
     return_stats,
 )
 from dayzero.operators.revenue import cumulative_revenue
+from dayzero.operators.state import advance, return_state, state_users
 from dayzero.operators.transitions import transition_matrix
 
 __all__ = [
     "COHORTS",
+    "advance",
+    "as_of_join",
     "attribute",
     "cohort_members",
     "cohort_returns",
@@ -35,6 +40,8 @@ __all__ = [
     "day0_cohort",
     "densify",
     "device_funnel",
+    "distinct_counts",
+    "distinct_fold",
     "first_event",
     "first_return",
     "grid",
@@ -42,10 +49,14 @@ __all__ = [
     "login_loading",
     "minutes_between_hist",
     "none_if_zero",
+    "number_users",
     "return_curve",
     "return_depth",
+    "return_state",
     "return_stats",
     "running_total",
+    "running_total_in_blocks",
+    "state_users",
     "transition_matrix",
     "two_day_matrix",
     "user_payments",

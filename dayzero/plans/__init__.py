@@ -9,6 +9,8 @@ from dayzero.plans.channels import (
     channel_ratio_window,
     channel_revenue,
     channel_revenue_window,
+    not_entered_by,
+    not_entered_fold,
     recent_revenue_by_age,
     revenue_by_age,
     weekly_not_entered,
@@ -31,8 +33,11 @@ from dayzero.plans.registration import (
     register_time_distribution,
 )
 from dayzero.plans.returns import (
+    return_curve_from_state,
     return_curve_report,
+    return_depth_from_state,
     return_depth_report,
+    return_stats_from_state,
     return_stats_report,
 )
 
@@ -47,10 +52,15 @@ __all__ = [
     "install_to_login",
     "loading_time_engagement",
     "minutes_to_stage_clear",
+    "not_entered_by",
+    "not_entered_fold",
     "recent_revenue_by_age",
     "register_time_distribution",
+    "return_curve_from_state",
     "return_curve_report",
+    "return_depth_from_state",
     "return_depth_report",
+    "return_stats_from_state",
     "return_stats_report",
     "revenue_by_age",
     "stage_transitions_not_entered",

@@ -21,13 +21,17 @@ from dayzero.operators import (
     cohort_members,
     cumulative_revenue,
     day0_cohort,
+    distinct_counts,
+    distinct_fold,
     join_metrics,
     none_if_zero,
+    number_users,
     user_payments,
 )
 from dayzero.operators.channels import channel
 from dayzero.sources.tables import Tables
 
+
 def _is_new() -> Column:
     return F.col("nru") == 1
 
@@ -173,16 +177,8 @@ def _revenue_per_user(
 def weekly_not_entered(tables: Tables) -> DataFrame:
     """Per Sunday week and channel: registered users, and those without a
     tutorial that day.  Users without a channel form a group of their own."""
-    new = (
-        tables.f_user_map.filter(_is_new())
-        .select("reg_datekey", "nid", "network_name")
-        .distinct()
-    )
-    idle = day0_cohort(
-        tables.f_max_campaign, "loose", keys=["reg_datekey", "nid"]
-    ).withColumn("idle", F.lit(True))
     users = (
-        new.join(idle, ["reg_datekey", "nid"], "left")
+        _new_users(tables)
         .groupBy(week_of_year("reg_datekey").alias("week"), "network_name", "nid")
         .agg(F.bool_or("idle").alias("idle"))
     )
@@ -196,6 +192,36 @@ def weekly_not_entered(tables: Tables) -> DataFrame:
     )
 
 
+def _new_users(tables: Tables) -> DataFrame:
+    """Registrations by day and channel, with those without a tutorial that day."""
+    new = (
+        tables.f_user_map.filter(_is_new())
+        .select("reg_datekey", "nid", "network_name")
+        .distinct()
+    )
+    idle = day0_cohort(
+        tables.f_max_campaign, "loose", keys=["reg_datekey", "nid"]
+    ).withColumn("idle", F.lit(True))
+    return new.join(idle, ["reg_datekey", "nid"], "left")
+
+
+def not_entered_fold(tables: Tables) -> DataFrame:
+    """Bitmaps of the registered and of the idle users per day and channel, to be
+    stored once and counted by any longer period (``not_entered_by``)."""
+    users = _new_users(tables)
+    numbers = number_users(users, order="reg_datekey")
+    idle = F.coalesce("idle", F.lit(False))
+    return distinct_fold(users, numbers, ["reg_datekey", "network_name"], among={"idle": idle})
+
+
+def not_entered_by(fold: DataFrame, period: Column) -> DataFrame:
+    """``weekly_not_entered`` for a period that is worked out of ``reg_datekey``,
+    from a stored fold alone."""
+    groups = [period.alias("reg_datekey"), "network_name"]
+    counts = distinct_counts(fold, groups, reg_UU="users", not_play_UU="idle")
+    return counts.orderBy("reg_datekey", "network_name")
+
+
 def revenue_by_age(
     tables: Tables,
     horizon: int = REVENUE_HORIZON,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from dayzero.sources.history import HistoryFiles
 from dayzero.sources.schemas import LOGS, SCHEMAS
 from dayzero.sources.snapshot import read_table_as_of
 
@@ -14,6 +15,10 @@ from dayzero.sources.snapshot import read_table_as_of
 UTC = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "Zulu", "Etc/Zulu", "UCT", "+00:00"}
 
 
+# Later than any commit of a history.
+FAR_FUTURE = "9999-12-31"
+
+
 def require_utc(spark: SparkSession) -> None:
     """Days, hours and minutes follow the session zone, so it has to be UTC."""
     zone = spark.conf.get("spark.sql.session.timeZone")
@@ -59,7 +64,7 @@ class Tables:
         if name not in SCHEMAS:
             raise AttributeError(name)
         if self._open_as_of is None:
-            raise ValueError("only catalog tables can be opened as of a moment")
+            raise ValueError("only catalog tables and histories can be opened as of a moment")
         return self._open_as_of(name, moment)
 
     @staticmethod
@@ -74,16 +79,32 @@ class Tables:
         fmt: str = "parquet",
         suffix: str = "",
         schemas: Mapping[str, StructType] | None = None,
+        histories: Mapping[str, Sequence[str]] | None = None,
     ) -> Tables:
         """One file or folder per table below ``root``; ``schemas`` replaces
-        those of single tables, as for a ``created_at`` kept as BIGINT."""
+        those of single tables, as for a ``created_at`` kept as BIGINT.
+
+        ``histories`` names the tables that are kept as ``HistoryFiles``, with
+        their keys: these can be opened as of a moment, and else as they are now.
+        """
         require_utc(spark)
         known = {**SCHEMAS, **(schemas or {})}
-        return cls(
-            lambda name: spark.read.schema(known[name])
-            .format(fmt)
-            .load(f"{root}/{name}{suffix}")
-        )
+        kept = {
+            name: HistoryFiles(spark, f"{root}/{name}{suffix}", known[name], keys)
+            for name, keys in (histories or {}).items()
+        }
+
+        def open_table(name: str) -> DataFrame:
+            if name in kept:
+                return kept[name].as_of(FAR_FUTURE)
+            return spark.read.schema(known[name]).format(fmt).load(f"{root}/{name}{suffix}")
+
+        def open_as_of(name: str, moment: str) -> DataFrame:
+            if name not in kept:
+                raise ValueError(f"{name} is not kept as a history")
+            return kept[name].as_of(moment)
+
+        return cls(open_table, open_as_of if kept else None)
 
     @classmethod
     def from_catalog(

@@ -369,3 +369,61 @@ def test_join_per_key_with_hot_keys(spark, rows, slice_rows):
     assert sorted(rows(joined.select("k", "id", "top"))) == sorted(
         rows(plain.select("k", "id", "top"))
     )
+
+
+def plain_minutes(starts, ends, cap):
+    """All pairs of a user's day, as a loop."""
+    users = {}
+    for nid, start in starts:
+        for other, end in ends:
+            if nid == other and start.date() == end.date():
+                micros = (end - start) // dt.timedelta(microseconds=1)
+                minutes = abs(micros) // 60_000_000 * (1 if micros >= 0 else -1)
+                users.setdefault(minutes, set()).add(nid)
+    counts = {}
+    for minutes, nids in users.items():
+        label = f"0{minutes}" if minutes < 10 else str(minutes) if minutes <= cap else "over"
+        counts[label] = counts.get(label, 0) + len(nids)
+    return sorted(counts.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_minutes_between_all_pairs(spark, rows, seed):
+    """Events on and off full minutes and seconds, before and after each other."""
+    pick = random.Random(seed)
+    base = dt.datetime(2024, 1, 1, 23, 0)
+
+    def events(n):
+        steps = (1, 1_000_000, 30_000_000, 60_000_000)
+        for _ in range(n):
+            step = pick.choice(steps)
+            micros = pick.randrange(0, 3 * 3600 * 1_000_000, step)
+            yield pick.randrange(6), base + dt.timedelta(microseconds=micros)
+
+    starts, ends = list(events(40)), list(events(60))
+    schema = "nid bigint, _i_t timestamp"
+    found = ops.minutes_between_hist(
+        spark.createDataFrame(starts, schema), spark.createDataFrame(ends, schema), 30, "over"
+    )
+    assert sorted(rows(found)) == plain_minutes(starts, ends, 30)
+
+
+def test_minutes_of_a_bot_in_every_minute(spark, rows):
+    """1,440 minutes on both sides meet without a row per pair."""
+    base = dt.datetime(2024, 1, 1)
+    schema = "nid bigint, _i_t timestamp"
+    starts = [(1, base + dt.timedelta(minutes=m, seconds=20)) for m in range(1440)]
+    ends = [(1, base + dt.timedelta(minutes=m, seconds=m % 60)) for m in range(1440)]
+    found = ops.minutes_between_hist(
+        spark.createDataFrame(starts, schema), spark.createDataFrame(ends, schema), 5000
+    )
+    assert sorted(rows(found)) == plain_minutes(starts, ends, 5000)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_minutes_need_both_sides(spark, rows):
+    schema = "nid bigint, _i_t timestamp"
+    one = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (None, dt.datetime(2024, 1, 1)), (2, None)], schema)
+    other = spark.createDataFrame([(2, dt.datetime(2024, 1, 1)), (None, dt.datetime(2024, 1, 1)), (2, None)], schema)
+    assert rows(ops.minutes_between_hist(one, other)) == []
+    assert rows(ops.minutes_between_hist(one.limit(0), other)) == []

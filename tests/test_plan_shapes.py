@@ -131,10 +131,12 @@ def test_first_logins_are_not_sorted(stored, kind):
     assert "SortAggregate" not in physical(plans.first_login_loading(stored, kind))
 
 
-def test_minutes_join_within_a_day(stored):
+def test_minutes_meet_without_a_join(stored):
+    """Both sides are folded to clock minutes, then gathered per user and day."""
     plan = physical(plans.minutes_to_stage_clear(stored))
-    joins = [line for line in plan.splitlines() if "Join [" in line]
-    assert joins and all("nid" in line and "day" in line for line in joins)
+    assert "Join" not in plan
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert any("nid" in line and "day" in line and "minute" in line for line in shuffles)
 
 
 def test_adapter_joins_on_users_only(spark):
