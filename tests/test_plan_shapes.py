@@ -135,8 +135,10 @@ def test_minutes_meet_without_a_join(stored):
     """Both sides are folded to clock minutes, then gathered per user and day."""
     plan = physical(plans.minutes_to_stage_clear(stored))
     assert "Join" not in plan
-    shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
-    assert any("nid" in line and "day" in line and "minute" in line for line in shuffles)
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(nid" in line]
+    # Two by user, day and clock minute, which fold the logs, and one by user and day.
+    assert len(shuffles) == 3 and all("day" in line for line in shuffles)
+    assert sum(line.count("#") == 3 for line in shuffles) == 2
 
 
 def test_adapter_joins_on_users_only(spark):
