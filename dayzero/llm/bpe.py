@@ -6,8 +6,9 @@ that the merges leave the pair (s, t) apart (and t is a token that its own strin
 many words share it; a word's encoding is read by stepping back from token to token.
 
 Texts are cut as the tokenizer file says: special strings are taken out first, the rest is normalised (NFC, white space
-to one space, lower case character by character) and split into words, which become symbols of bytes, the last one
-marked as the end of a word. Decoding joins the ids' strings by spaces, as the file names no decoder.
+to one space, lower case) and split into words by the file's pattern, with letters and digits as the library's
+tables have them; words become symbols of bytes, the last one marked as the end of a word. Decoding goes from the ids to
+their strings and joins these by spaces, as the file names no decoder. A file that asks for anything else is refused.
 
 Null text counts as empty; an empty text has no ids. Repeated rows are encoded one by one; an empty table gives an empty
 result. Input columns are carried in one struct, so they may have any names.
@@ -18,28 +19,31 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayzero.llm.letters import Splitter, tokenizers_classes
+
 #: Words whose encodings a worker remembers before it starts anew.
 REMEMBERED = 500_000
-#: White space as the normaliser's pattern takes it.
-SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The same for texts that hold no character from U+0250 on, faster.
-LATIN_WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^{SPACES}a-zªµºß-öø-ɏ0-9²³¹¼-¾]+"
-)
+#: What the tokenizer file has to say: the normaliser and the splitter that this module carries out.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+BYTES_ONLY = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: From here on characters may differ between this interpreter's Unicode tables and the library's.
 NOT_LATIN = re.compile(r"[^\x00-\u024f]")
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
-GAPS = re.compile(rf"[{SPACES}]+")
 ENDLESS = 1 << 60
 
 
@@ -50,12 +54,33 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    """A tokenizer file; ValueError if it asks for something else than is carried out here."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    parts = before.get("pretokenizers") or [{}]
+    split = {k: v for k, v in parts[0].items() if k != "pattern"}
+    as_here = {
+        "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix")),
+        "byte_fallback": not model.get("byte_fallback") and not model.get("ignore_merges"),
+        "normalizer": spec["normalizer"] == NORMALIZER,
+        "pre_tokenizer": split == {"type": "Split", "behavior": "Removed", "invert": True} and parts[1:] == [BYTES_ONLY],
+        "decoder": spec["decoder"] is None,
+        "added_tokens": not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    other = [name for name, same in as_here.items() if not same]
+    if other:
+        raise ValueError(f"{path} asks for another {', '.join(other)} than this encoder carries out")
+    return spec
+
+
 class Merges:
     """Vocabulary and merges of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = read_spec(path)
+        self.pattern: str = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
@@ -165,58 +190,58 @@ class Encoder:
     """Texts to ids and back, with the words of a batch encoded together."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.merges = Merges(path)
-        #: Of each word the ids as a string, their number, the decoded text, and the ids as 32-bit numbers.
-        self.known: dict[str, tuple[str, int, str, bytes]] = {}
+        self.split = Splitter(self.merges.pattern, tokenizers_classes())
+        self.library_normal = Tokenizer.from_file(path).normalizer.normalize_str
+        #: Of each word the ids as a string and as 32-bit numbers.
+        self.known: dict[str, tuple[str, bytes]] = {}
         specials = sorted(self.merges.special, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
+        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         for s in specials:
-            self.known[s] = self.entry([self.merges.special[s]], [s])
+            self.known[s] = self.entry([self.merges.special[s]])
         self.fixed = dict(self.known)
 
-    @staticmethod
-    def normal(text: str) -> str:
-        text = GAPS.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        # A capital sigma is lowered by itself, whether or not a word ends with it.
-        return text.replace("Σ", "σ").lower()
+    def normal(self, text: str) -> str:
+        """As the library normalises; texts of older letters in a faster way.
+
+        These are composed already, and white space may stay as it is, since it is in no word.
+        """
+        return self.library_normal(text) if NOT_LATIN.search(text) else text.lower()
 
     def words(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.fixed):
-            return self.split(self.normal(text))
+            return self.split.findall(self.normal(text))
         out = []
         for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else self.split(self.normal(part))
+            out += [part] if i % 2 else self.split.findall(self.normal(part))
         return out
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return (WORDS if NOT_LATIN.search(text) else LATIN_WORDS).findall(text)
-
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = dict(self.fixed)
         ids = self.merges.ids
         for word, tokens in self.merges.encode_words(w for w in words if w not in self.known).items():
-            self.known[word] = self.entry([ids[t] for t in tokens], tokens)
+            self.known[word] = self.entry([ids[t] for t in tokens])
 
     @staticmethod
-    def entry(ids: list[int], tokens: list[str]) -> tuple[str, int, str, bytes]:
-        return " ".join(map(str, ids)), len(ids), " ".join(tokens), array("i", ids).tobytes()
+    def entry(ids: list[int]) -> tuple[str, bytes]:
+        return " ".join(map(str, ids)), array("i", ids).tobytes()
 
-    def found(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, str, bytes]]]:
-        """The entries of each text's words."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[array, str]]:
+        """The ids of each text, as numbers and as a string."""
         cut = [self.words(t or "") for t in texts]
         self.learn(set().union(*cut))
         known = self.known
-        return ([known[w] for w in words] for words in cut)
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, the ids and the decoded text, both as strings, of each text."""
-        for own in self.found(texts):
-            yield sum(f[1] for f in own), " ".join([f[0] for f in own]), " ".join([f[2] for f in own])
+        for words in cut:
+            own = list(map(known.__getitem__, words))
+            ids = array("i")
+            ids.frombytes(b"".join([f[1] for f in own]))
+            yield ids, " ".join([f[0] for f in own])
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.merges.strings[i] for i in ids)
+        return " ".join(map(self.merges.strings.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -247,18 +272,15 @@ def encode_documents(
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
-                done = list(coder.found(part.column(1).to_pylist()))
-                sizes = [sum(f[1] for f in own) for own in done]
+                done = list(coder.encode(part.column(1).to_pylist()))
                 columns = {
                     "row": part.column(0),
-                    "n_tokens": pa.array(sizes, pa.int64()),
-                    "ids_sha256": pa.array([_sha(" ".join([f[0] for f in own])) for own in done], pa.string()),
-                    "decoded_sha256": pa.array([_sha(" ".join([f[2] for f in own])) for own in done], pa.string()),
+                    "n_tokens": pa.array([len(ids) for ids, _ in done], pa.int64()),
+                    "ids_sha256": pa.array([_sha(written) for _, written in done], pa.string()),
+                    "decoded_sha256": pa.array([_sha(coder.decode(ids)) for ids, _ in done], pa.string()),
                 }
                 if with_ids:
-                    values = np.frombuffer(b"".join([f[3] for own in done for f in own]), np.int32)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                    columns["ids"] = pa.array([np.frombuffer(ids, np.int32) for ids, _ in done], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"row {row_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -18,6 +18,7 @@ columns are read, so other columns may have any names. Ids of documents are whol
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -27,28 +28,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayzero.llm.bpe import NOT_LATIN, SPACES
 from dayzero.llm.common import shared_folder
 from dayzero.llm.context_coder import BLOCK_IDS, LANES, nibbles_for, read_blocks, write_blocks
+from dayzero.llm.letters import Splitter, tokenizers_classes
 
 CHUNK_IDS = 512 * BLOCK_IDS
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIII")  # magic, documents, blocks, bytes of the index
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 500_000
-WORDS = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
-#: The same for texts that hold no character from U+0250 on, faster.
-LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-LATIN_WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACES}{LETTER}{NUMBER}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
+#: How the library cuts texts before it looks for bytes, if its file asks for it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CUT_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class WordEncoder:
@@ -57,6 +52,14 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut = {k: v for k, v in (spec["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
+        if spec["normalizer"] is not None or cut != CUT_BYTES:
+            raise ValueError(f"{path} normalises or cuts texts in another way than this encoder")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that take in what is around them")
+        self.split = Splitter(PATTERN, tokenizers_classes())
         self.library = Tokenizer.from_file(path)
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.largest = max(self.library.get_vocab_size(with_added_tokens=True), *added.values(), 1)
@@ -66,7 +69,7 @@ class WordEncoder:
         self.known = dict(self.fixed)
 
     def words(self, text: str) -> list[str]:
-        cut = (WORDS if NOT_LATIN.search(text) else LATIN_WORDS).findall
+        cut = self.split.findall
         if self.special is None or not any(s in text for s in self.fixed):
             return cut(text)
         out = []

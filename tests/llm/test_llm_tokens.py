@@ -78,6 +78,42 @@ def test_trie_encodes_and_decodes_like_the_library(docs, rows):
     assert rows(bpe.encode_documents(table.where("false"), WORDS, ["doc_id"])) == []
 
 
+def test_every_character_as_in_the_library():
+    """Also those that only one of the interpreter's and the library's tables know as letters."""
+    from dayzero.llm.letters import all_characters
+
+    texts = [f"A{c}b 1{c}2 {c} {c}{c}" for c in all_characters()[::3]]
+    library, own = Tokenizer.from_file(WORDS), bpe.Encoder(WORDS)
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [list(ids) for ids, _ in own.encode(texts)] == expected
+    library, own = Tokenizer.from_file(BYTES), id_files.WordEncoder(BYTES)
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)] == expected
+
+
+def test_files_that_ask_for_something_else_are_refused(tmp_path):
+    import json
+
+    changes = {
+        "normalizer": {"type": "NFKC"},
+        "pre_tokenizer": {"type": "Whitespace"},
+        "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True},
+    }
+    spec = json.load(open(WORDS, encoding="utf-8"))
+    for name, value in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {name: value}))
+        with pytest.raises(ValueError, match=name):
+            bpe.Merges(str(path))
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    for name, value in changes.items():
+        if name != "decoder":
+            path = tmp_path / f"bytes-{name}.json"
+            path.write_text(json.dumps(spec | {name: value}))
+            with pytest.raises(ValueError):
+                id_files.WordEncoder(str(path))
+
+
 def test_trie_on_random_merges(tmp_path):
     """Small vocabularies with dense merges, where many pairs of tokens interfere."""
     import json
