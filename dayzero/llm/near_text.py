@@ -8,9 +8,12 @@ error. Each chunk is looked up with each of its positions left out, which finds
 
 Texts with equal sets are one class from the start. Buckets with the same members are looked at once. Inside a bucket the
 signatures are compared, and the links of at most the distance go on as a spanning forest, so no bucket emits its pairs.
-The families that these links form are compared on their whole sets, block against block where a family is large, and
-only a spanning forest of the confirmed links leaves a block. Families, blocks and buckets are bounded per task; a bucket
-beyond BUCKET_ROWS is cut into blocks that meet each other pair by pair.
+
+The families that these links form are confirmed on their whole sets, as 64-bit hashes of all shingles. First every text
+is compared with the smallest one that its signature is near to, which sends each text about once; mostly that holds a
+family together. Of the other families all texts are compared, block against block where a family is large, and only a
+spanning forest of the confirmed links leaves a block. One text stands for each id and set, however many rows repeat it.
+Stars, blocks and buckets are bounded per task; a bucket beyond BUCKET_ROWS is cut into blocks that meet pair by pair.
 
 Null or empty texts, and texts without words, have empty sets, link with nothing and are kept. A text with fewer words
 than a shingle has one shingle of all its words. Rows that share an id are one document, linked to whatever one of them
@@ -46,6 +49,8 @@ ERRORS = 1
 #: Shingles hashed at one time.
 PIECE = 1 << 15
 BUCKET_ROWS = 20_000
+#: Texts that are compared with the middle of their star in one task.
+STAR_TEXTS = 256
 BLOCK_TEXTS = 384
 BLOCK_SHINGLES = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +129,7 @@ def _key_columns(keys: list[list[int]]) -> list[Column]:
 
 
 def _signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, two fingerprints of the set and the signature of every row."""
+    """id, tie (a hash of the text), n_shingles, two fingerprints of the set and the signature of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     fields = ["n_shingles", "fp1", "fp2", *LONGS]
 
@@ -138,10 +143,14 @@ def _signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                     numbers[row, :3] = [len(found), *np.array(sums, np.uint64).view(np.int64)]
                     numbers[row, 3:] = signature(found)
             columns = [pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["id", "tie", *fields])
+
+    read = _tied(docs, id_col, text_col)
+    return read.mapInArrow(run, ", ".join([f"id {id_type}", "tie long", *[f"{f} long" for f in fields]]))
+
 
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, ", ".join([f"id {id_type}", *[f"{f} long" for f in fields]]))
+def _tied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -232,10 +241,12 @@ def _block_pairs(block: Column, n_blocks: Column) -> Column:
 def candidate_links(classes: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) that connect all classes with signatures of at most the distance."""
     keys = _key_columns(chunk_keys(distance))
-    buckets = classes.select("id", F.explode(F.array(*keys)).alias("key"))
+    # Classes differ in their sets, so no two of them cancel each other here, whatever their ids are.
+    marks = [F.xxhash64("fp1", "fp2", F.lit(i)).alias(f"m{i}") for i in (1, 2)]
+    buckets = classes.select("id", *marks, F.explode(F.array(*keys)).alias("key"))
     shared = (
         buckets.groupBy("key")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+        .agg(F.count("*").alias("n"), F.bit_xor("m1").alias("h1"), F.bit_xor("m2").alias("h2"))
         .where("n > 1")
     )
     # Buckets with the same members: one of them will do.
@@ -280,8 +291,68 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between texts of one family (id, n_shingles, family) whose whole sets are similar enough."""
+def _star(width: int, percent: int):
+    """Links of the texts of one part of a star to the text, or texts, in its middle; one set at a time."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        middle = rows["id"].to_numpy() == rows["star"].to_numpy()
+        centres = [shingle_set(t, width) for t in rows["text"][middle]]
+        found = []
+        for own, text in zip(rows["id"][~middle], rows["text"][~middle], strict=True):
+            mine = shingle_set(text, width)
+            for centre in centres:
+                common = len(np.intersect1d(mine, centre, assume_unique=True))
+                if common and 100 * common >= percent * (len(mine) + len(centre) - common):
+                    found.append(own)
+                    break
+        return pd.DataFrame({"a": [rows["star"].iloc[0]] * len(found), "b": found}, columns=["a", "b"])
+
+    return run
+
+
+def family_texts(docs: DataFrame, classes: DataFrame, repeats: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text, one for each class in a family, written. A text that an id has in many rows is taken once."""
+    placed = classes.join(families.select(F.col("id").alias("f_id")), F.col("id") == F.col("f_id"))
+    placed = placed.join(repeats, (F.col("id") == F.col("r_id")) & (F.col("tie") == F.col("r_tie")), "left")
+    placed = placed.select(F.col("id").alias("p_id"), F.col("tie").alias("p_tie"), F.col("r_id").isNotNull().alias("repeated"))
+    placed = written(placed, "near-placed")
+    texts = _tied(docs, id_col, text_col)
+    same = (F.col("id") == F.col("p_id")) & (F.col("tie") == F.col("p_tie"))
+    # The texts in families grow with the table, so their list is not to be broadcast at any size.
+    once = texts.join(placed.where("not repeated").hint("merge"), same).select("id", "text")
+    if repeats.isEmpty():
+        return written(once, "near-texts")
+    many = texts.join(placed.where("repeated"), same)
+    # The key is negated so that the aggregate has an exchange of its own: each task sends a repeated text once.
+    many = many.groupBy((-F.col("id")).alias("n_id"), "tie").agg(F.any_value("text").alias("text"))
+    return written(once.unionByName(many.select((-F.col("n_id")).alias("id"), "text")), "near-texts")
+
+
+def star_links(texts: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of every class to the smallest class that its signature is near to.
+
+    Every text is sent once, and one that very many look at once more for each STAR_TEXTS of them.
+    """
+    stars = candidates.select(F.greatest("a", "b").alias("own"), F.least("a", "b").alias("star")).where("own <> star")
+    stars = written(stars.groupBy("own").agg(F.min("star").alias("star")), "near-stars")
+    sizes = stars.groupBy("star").agg(F.ceil(F.count("*") / STAR_TEXTS).cast("long").alias("parts"))
+    sizes = written(sizes.select(F.col("star").alias("s_star"), "parts"), "near-stars")
+    own = stars.join(sizes, F.col("star") == F.col("s_star")).select(
+        "own", "star", F.pmod(F.xxhash64("own"), F.col("parts")).alias("part")
+    )
+    centre = sizes.select(
+        F.col("s_star").alias("own"),
+        F.col("s_star").alias("star"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+    )
+    rows = texts.join(own.unionByName(centre).hint("merge"), F.col("id") == F.col("own"))
+    return rows.select("star", "part", "id", "text").groupBy("star", "part").applyInPandas(
+        _star(width, percent), "a long, b long"
+    )
+
+
+def block_links(texts: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among all texts of each family (id, n_shingles, family)."""
     sizes = families.groupBy("family").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("shingles"))
     n_blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     sizes = sizes.select((-F.col("family")).alias("f_key"), F.least(n_blocks, F.col("texts")).alias("n_blocks"))
@@ -291,15 +362,27 @@ def confirmed_links(docs: DataFrame, families: DataFrame, width: int, percent: i
         .select(F.col("id").alias("p_id"), "family", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block")),
         "near-families",
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # The texts in families grow with the table, so their list is not to be broadcast at any size.
-    texts = texts.join(placed.hint("merge"), F.col("id") == F.col("p_id"))
-    texts = texts.withColumn("part", F.explode(_block_pairs(F.col("block"), F.col("n_blocks"))))
-    return texts.select("family", "part", "id", "text").groupBy("family", "part").applyInPandas(
+    rows = texts.join(placed.hint("merge"), F.col("id") == F.col("p_id"))
+    rows = rows.withColumn("part", F.explode(_block_pairs(F.col("block"), F.col("n_blocks"))))
+    return rows.select("family", "part", "id", "text").groupBy("family", "part").applyInPandas(
         _confirm(width, percent), "a long, b long"
     )
 
 
+def confirmed_links(texts: DataFrame, candidates: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the similar whole sets of each family (id, n_shingles, family) connect.
+
+    Stars are confirmed first. Families that these hold together need no more; only in the others all texts are compared.
+    """
+    links = written(star_links(texts, candidates, width, percent), "near-links")
+    joined = components(links).select(F.col("node").alias("j_id"), F.col("component").alias("joined"))
+    known = families.join(joined, F.col("id") == F.col("j_id"), "left")
+    open_ones = known.groupBy("family").agg(F.min(F.coalesce("joined", "id")).alias("low"), F.max(F.coalesce("joined", "id")).alias("high"))
+    open_ones = open_ones.where("low <> high").select((-F.col("family")).alias("o_key"))
+    left = families.withColumn("o_key", -F.col("family")).join(open_ones, "o_key", "left_semi").drop("o_key")
+    return links.unionByName(block_links(texts, written(left, "near-families"), width, percent))
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -311,14 +394,19 @@ def near_duplicates(
     classes = (
         signed.where("n_shingles > 0 and id is not null")
         .groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min("id").cast("long").alias("id"), *[F.max(c).alias(c) for c in LONGS])
+        .agg(F.min(F.struct(F.col("id").cast("long").alias("id"), "tie")).alias("least"), *[F.max(c).alias(c) for c in LONGS])
     )
-    classes = written(classes, "near-classes")
-    families = components(candidate_links(classes, search_distance(percent / 100)))
+    classes = written(classes.select("fp1", "fp2", "n_shingles", "least.id", "least.tie", *LONGS), "near-classes")
+    repeats = signed.where("n_shingles > 0").groupBy(F.col("id").cast("long").alias("r_id"), F.col("tie").alias("r_tie"))
+    repeats = written(repeats.agg(F.count("*").alias("n")).where("n > 1").select("r_id", "r_tie"), "near-repeats")
+    candidates = written(candidate_links(classes, search_distance(percent / 100)).distinct(), "near-candidates")
+    families = components(candidates)
     families = families.select(F.col("node").alias("f_id"), F.col("component").alias("family"))
     sized = classes.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles"))
     families = families.join(sized, F.col("f_id") == F.col("id")).select("id", "n_shingles", "family")
-    links = confirmed_links(docs, written(families, "near-families"), width, percent, id_col, text_col)
+    families = written(families, "near-families")
+    texts = family_texts(docs, classes, repeats, families, id_col, text_col)
+    links = confirmed_links(texts, candidates, families, width, percent)
     members = written(
         signed.select("id", "n_shingles", "fp1", "fp2")
         .join(

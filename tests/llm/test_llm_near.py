@@ -77,6 +77,7 @@ def test_near_texts(docs, texts, monkeypatch, width, percent, small):
     if small:
         monkeypatch.setattr(near_text, "BUCKET_ROWS", 20)
         monkeypatch.setattr(near_text, "BLOCK_TEXTS", 15)
+        monkeypatch.setattr(near_text, "STAR_TEXTS", 4)
     order = list(range(len(texts)))
     random.Random(3).shuffle(order)
     sets = {i: shingles(t, width) for i, t in zip(order, texts, strict=True)}
@@ -107,6 +108,46 @@ def test_rows_without_or_with_equal_ids(docs):
     assert near_text.near_duplicates(table.where("false"), 3, 85).collect() == []
 
 
+def test_one_text_stands_for_repeated_rows(spark, docs, prose, monkeypatch):
+    """Rows that repeat an id and its text never meet in one task, however many there are."""
+    pick = random.Random(4)
+    text = prose(60, [f"w{i}" for i in range(500)])
+    near = [" ".join(edited(pick, text.split(), 1)) for _ in range(5)]
+    rows = [(4, text)] * 2000 + [(10 + i, t) for i, t in enumerate(near)] + [(10, near[1])] * 300 + [(20, text)] * 500
+    table = docs([(i, t, "en", "s") for i, t in rows]).repartition(6)
+    sizes = spark.sparkContext.accumulator(0)
+    star, confirm, gathered = near_text._star, near_text._confirm, near_text.family_texts
+    monkeypatch.setattr(near_text, "_star", lambda *a: lambda df: (sizes.add(len(df)), star(*a)(df))[1])
+    monkeypatch.setattr(near_text, "_confirm", lambda *a: lambda df: (sizes.add(len(df)), confirm(*a)(df))[1])
+    held = []
+    monkeypatch.setattr(near_text, "family_texts", lambda *a: held.append(gathered(*a)) or held[0])
+    got = near_text.near_duplicates(table, 3, 85).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {4}
+    assert sum(r.kept for r in got) == 2000
+    assert held[0].count() == 6  # sets, each with the text of its smallest id
+    assert sizes.value <= 3 * held[0].count()
+
+
+def test_families_held_by_a_star_are_not_compared_again(spark, docs, prose, monkeypatch):
+    text = prose(100, [f"w{i}" for i in range(900)]).split()
+    texts = [" ".join([*text[:i], "other", *text[i + 1 :]]) for i in range(60)]
+    compared = []
+    blocks = near_text.block_links
+    monkeypatch.setattr(near_text, "block_links", lambda t, f, *a: compared.append(f.count()) or blocks(t, f, *a))
+    got = near_text.near_duplicates(docs([(i, t, "en", "s") for i, t in enumerate(texts)]), 3, 85).collect()
+    assert {r.component_id for r in got} == {0} and compared == [0]
+
+
+def test_buckets_of_equal_ids_do_not_cancel(docs, prose):
+    """Two ids with two sets each: their hashes by id would add up to nothing."""
+    pick = random.Random(6)
+    base = prose(80, [f"w{i}" for i in range(700)]).split()
+    texts = [" ".join(edited(pick, base, 1)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3]), (9, texts[4])]
+    got = near_text.near_duplicates(docs([(i, t, "en", "s") for i, t in rows]), 3, 85).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_pigeonhole_keys():
     """Every pair within the distance shares a key."""
     pick = random.Random(2)
