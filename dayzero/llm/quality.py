@@ -3,10 +3,12 @@
 The outliers are found by minimum covariance determinant. Each document's counts become a vector of six transformed
 rates. For each language and source a centre and covariance are fitted to the half of its different texts that lie
 closest together, so junk that is alike may hold any smaller part: from the medians, with quartile ranges, median
-deviations or the floors as spreads, by concentration steps (fit, measure, keep the closest). Of the
-three the fit with the smallest determinant is refitted once to all texts within the 97.5 % distance. Equal texts count
-once. A document is rejected if its squared Mahalanobis distance is
-above `cutoff`. A floor is added to each variance, so a rate that hardly varies does not make harmless texts outliers.
+deviations or the floors as spreads, by concentration steps (fit, measure, keep the closest) until the determinant no
+longer falls; a warning counts the starts that MAX_STEPS steps did not settle. Of the three the fit with the smallest
+determinant is refitted once to all texts within the 97.5 % distance. Equal texts count once. A document is rejected if
+its squared Mahalanobis distance is above `cutoff`. A floor is added to each variance, so a rate that hardly varies does
+not make harmless texts outliers. One repeated line, and the words of one, are excused: clean texts may open and close
+with the same line. A text of which 40 % of the lines are repeated goes wherever other texts repeat none.
 
 Every step is one aggregate: documents are counted with their moments in ranges of distance, and the ranges are summed
 from the closest on. A language and source with a third of all documents sends a few hundred rows per task.
@@ -21,6 +23,7 @@ Input columns are carried in one struct, so they may have any names.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +31,23 @@ from pyspark.sql import functions as F
 
 from dayzero.llm.common import WORD_GAP, let, word_array, written
 
+log = logging.getLogger(__name__)
+
 WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 
 SUBSET = 0.5
-STEPS = 6
+#: Most concentration steps, and the fall of the logarithm of the determinant's root that still counts as one.
+MAX_STEPS, FALL = 12, 1e-6
 MIN_GROUP = 50
 #: Squared distance above which a document is rejected; the chi-squared law with 6 degrees exceeds it once in 10 million.
 CUTOFF = 45.0
-#: Standard deviations that are added, in the order of vector(). Those of repeated lines and words are wide, as the fixed
-#: limit already rules on them and clean texts often open and close with one line.
-FLOORS = (0.06, 0.04, 0.25, 0.2, 0.06, 0.1)
+#: Standard deviations that are added, in the order of vector(). Each is small enough for its rate alone to reject a text.
+FLOORS = (0.06, 0.04, 0.09, 0.05, 0.06, 0.1)
+#: Repeated lines and repeated words that do not count: one line, and two times the words of a long one.
+EXCUSED_LINES, EXCUSED_WORDS = 1, 24
 PRIOR, PRIOR_CHARS = 10, 5
 DIMS = range(len(FLOORS))
 
@@ -123,14 +130,14 @@ def vector() -> list[Column]:
     """
     added = {"word_chars": PRIOR * PRIOR_CHARS, "n_words": PRIOR, "n_lines": 1}
 
-    def root(part: str, whole: str) -> Column:
-        return F.sqrt(F.greatest(F.col(part), F.lit(0)) / (F.col(whole) + added[whole]))
+    def root(part: str, whole: str, excused: int = 0) -> Column:
+        return F.sqrt(F.greatest(F.col(part) - excused, F.lit(0)) / (F.col(whole) + added[whole]))
 
     return [
         F.log((F.col("word_chars") + added["word_chars"]) / (F.col("n_words") + added["n_words"])),
         root("n_symbols", "word_chars"),
-        root("n_dup_lines", "n_lines"),
-        root("n_repeat_words", "n_words"),
+        root("n_dup_lines", "n_lines", EXCUSED_LINES),
+        root("n_repeat_words", "n_words", EXCUSED_WORDS),
         root("n_others", "word_chars"),
         root("n_stutters", "n_words"),
     ]
@@ -230,14 +237,43 @@ def _start(rows: DataFrame) -> DataFrame:
     return starts.groupBy("gid", "start").agg(*out).withColumns({f"l{i}_{j}": F.lit(0.0) for i in DIMS for j in range(i)})
 
 
+def _size() -> Column:
+    """Logarithm of the root of a fit's determinant."""
+    return F.round(sum((F.log(F.col(f"l{i}_{i}")) for i in DIMS), F.lit(0.0)), 9)
+
+
+def _numbers(fits: DataFrame) -> list[str]:
+    return [c for c in fits.columns if c not in ("gid", "start", "size", "fell")]
+
+
 def _best(fits: DataFrame) -> DataFrame:
     """Each group's fit with the smallest determinant; starts that end alike are taken in their order."""
-    numbers = [c for c in fits.columns if c not in ("gid", "start")]
-    size = F.round(sum((F.log(F.col(f"l{i}_{i}")) for i in DIMS), F.lit(0.0)), 9)
-    best = fits.groupBy("gid").agg(F.min_by(F.struct(*numbers), F.struct(size, "start")).alias("best"))
+    best = fits.groupBy("gid").agg(F.min_by(F.struct(*_numbers(fits)), F.struct(_size(), "start")).alias("best"))
     return best.select("gid", "best.*")
 
 
+def _settled(vectors: DataFrame) -> DataFrame:
+    """Fits of each group and start, after steps that each make some determinant fall."""
+    first = written(_start(vectors), "quality-fits")
+    fits = written(_fit(_measured(vectors, first), SUBSET, None, 1.0).withColumn("fell", F.lit(True)), "quality-fits")
+    for _ in range(MAX_STEPS - 1):
+        # Written before they are compared: the nested expressions of the factor would be planned again in each use.
+        after = written(_fit(_measured(vectors, fits.drop("fell")), SUBSET, None, 1.0), "quality-fits")
+        numbers = _numbers(after)
+        before = fits.select(F.col("gid").alias("b_gid"), F.col("start").alias("b_start"), F.struct(*numbers).alias("b"), _size().alias("b_size"))
+        after = after.select("gid", "start", F.struct(*numbers).alias("a"), _size().alias("a_size"))
+        both = after.join(before, (F.col("gid") == F.col("b_gid")) & (F.col("start") == F.col("b_start")))
+        fell = F.col("a_size") < F.col("b_size") - FALL
+        fits = both.select("gid", "start", F.when(fell, F.col("a")).otherwise(F.col("b")).alias("f"), fell.alias("fell"))
+        fits = written(fits.select("gid", "start", "f.*", "fell"), "quality-fits")
+        falling = fits.where("fell").count()
+        if not falling:
+            break
+    else:
+        log.warning("%d starts of the quality fit still improve after %d steps", falling, MAX_STEPS)
+    return fits.drop("fell")
+
+
 def _measured(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """rows with d2, the squared distance from their group's centre, by forward substitution in the Cholesky factor.
 
@@ -301,12 +337,8 @@ def judge_quality(
     ).drop("g_lang", "g_source")
     different = known.where(~F.col("base_failed") & F.col("fitted")).dropDuplicates(["gid", "text_hash"])
     vectors = written(different.select("gid", *[f"x{i}" for i in DIMS]), "quality-vectors")
-    fits = written(_start(vectors), "quality-fits")
     scale = consistency(SUBSET, len(FLOORS))
-    for _ in range(STEPS - 1):
-        fits = written(_fit(_measured(vectors, fits), SUBSET, None, 1.0), "quality-fits")
-    # Written before they are compared: the nested expressions of the factor would be planned again inside the aggregate.
-    fits = written(_fit(_measured(vectors, fits), SUBSET, None, scale), "quality-fits")
+    fits = written(_fit(_measured(vectors, _settled(vectors)), SUBSET, None, scale), "quality-fits")
     fits = written(_best(fits), "quality-fits")
     near = chi2_quantile(0.975, len(FLOORS))
     fits = written(_fit(_measured(vectors, fits), None, near, consistency(0.975, len(FLOORS))), "quality-fits")

@@ -1,18 +1,21 @@
 """The quality rules in SQL for the other engine, written out step by step.
 
-Same steps as in quality.py, but windows of words are rows here, and each document is measured by itself.
+Same steps as in quality.py, but windows of words are rows here, each document is measured by itself, and the steps that
+quality.py takes until nothing improves are written out up to their largest number; those after the last improvement keep
+what there is.
 """
 
 from __future__ import annotations
 
 import re
 
-FLOORS = [0.06, 0.04, 0.25, 0.2, 0.06, 0.1]
+FLOORS = [0.06, 0.04, 0.09, 0.05, 0.06, 0.1]
 N = len(FLOORS)
-#: What the covariance of the closest 75 % and 97.5 % of a normal sample falls short by, and the squared
+#: What the covariance of the closest 50 % and 97.5 % of a normal sample falls short by, and the squared
 #: distance within which 97.5 % lie, for six dimensions.
-SHORT_75, SHORT_975, WITHIN = 1.3615903091811201, 1.0492657231950333, 14.449375335447879
+SHORT_50, SHORT_975, WITHIN = 1.784455862366892, 1.0492657231950333, 14.449375335447879
 CUTOFF = 45
+STEPS, FALL = 12, 1e-6
 
 COUNTS = r"""
 texts AS (
@@ -47,7 +50,8 @@ texts AS (
 ), rates AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
            ln((word_chars + 50) / (n_words + 10)) AS x0, sqrt(n_symbols / (word_chars + 50)) AS x1,
-           sqrt(n_dup_lines / (n_lines + 1)) AS x2, sqrt(n_repeat_words / (n_words + 10)) AS x3,
+           sqrt(greatest(n_dup_lines - 1, 0) / (n_lines + 1)) AS x2,
+           sqrt(greatest(n_repeat_words - 24, 0) / (n_words + 10)) AS x3,
            sqrt(greatest(word_chars - n_letters - n_symbols, 0) / (word_chars + 50)) AS x4,
            sqrt(n_stutters / (n_words + 10)) AS x5
     FROM counts
@@ -65,7 +69,7 @@ texts AS (
     SELECT r.*, g.gid, g.fitted FROM rates r JOIN groups g
       ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source
 ), vectors AS (
-    SELECT * FROM known WHERE fitted AND NOT base_failed
+    SELECT DISTINCT ON (gid, t) known.* FROM known JOIN (SELECT nr, t FROM texts) USING (nr) WHERE fitted AND NOT base_failed
 )"""
 
 
@@ -87,7 +91,8 @@ def _cholesky(cov) -> list[list[str]]:
     return out
 
 
-def _measured(rows: str, fit: str) -> str:
+def _measured(rows: str, fit: str, keys: str) -> str:
+    """Squared distances of rows to the fit, or to each of the fits, of their group."""
     steps = []
     for i in range(N):
         left = f"x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i))
@@ -95,7 +100,7 @@ def _measured(rows: str, fit: str) -> str:
     squares = " + ".join(f"z{i} * z{i}" for i in range(N))
     kept = ", ".join(f"x{i}" for i in range(N))
     joined = f"(SELECT * FROM {rows} LEFT JOIN {fit} USING (gid))"
-    return f"SELECT nr, gid, {kept}, {squares} AS d2 FROM {_staged(joined, steps)}"
+    return f"SELECT nr, {keys}, {kept}, {squares} AS d2 FROM {_staged(joined, steps)}"
 
 
 def _sums() -> dict[str, str]:
@@ -103,14 +108,35 @@ def _sums() -> dict[str, str]:
     return sums | {f"q{i}{j}": f"sum(x{i} * x{j})" for i in range(N) for j in range(i + 1)}
 
 
-def _fit(sums: str, scale: float) -> str:
+def _fit(sums: str, scale: float, keys: str) -> str:
     def cov(i: int, j: int) -> str:
         plain = f"(q{i}{j} / n - m{i} * m{j}) * {scale!r}"
         return f"greatest({plain}, 0) + {FLOORS[i] ** 2!r}" if i == j else plain
 
     means = [f"s{i} / n AS m{i}" for i in range(N)]
-    kept = [f"m{i}" for i in range(N)] + [f"l{i}{j}" for i in range(N) for j in range(i + 1)]
-    return f"SELECT gid, {', '.join(kept)} FROM {_staged(sums, [means, *_cholesky(cov)])}"
+    size = "round(" + " + ".join(f"ln(l{i}{i})" for i in range(N)) + ", 9) AS size"
+    return f"SELECT {keys}, {', '.join(NUMBERS)}, {size} FROM {_staged(sums, [means, *_cholesky(cov)])}"
+
+
+NUMBERS = [f"m{i}" for i in range(N)] + [f"l{i}{j}" for i in range(N) for j in range(i + 1)]
+
+
+def _half(name: str, fit: str, scale: float) -> list[str]:
+    """Fit, named `name`, to the closest half of each group's texts under another fit, for each start."""
+    sums = _sums()
+    summed = ", ".join(f"{v} AS {c}" for c, v in sums.items())
+    nearer = ", ".join(f"sum({c}) OVER nearer AS {c}" for c in sums)
+    return [
+        f"{name}_far AS ({_measured('vectors', fit, 'gid, start')})",
+        f"{name}_range AS (SELECT gid, start, floor(ln(1 + d2) * 20) AS r, {summed} FROM {name}_far GROUP BY gid, start, r)",
+        f"""{name}_near AS (
+    SELECT gid, start, r, sum(n) OVER (PARTITION BY gid, start) AS total, {nearer}
+    FROM {name}_range WINDOW nearer AS (PARTITION BY gid, start ORDER BY r ROWS UNBOUNDED PRECEDING)
+), {name}_half AS (
+    SELECT * FROM {name}_near WHERE n >= 0.5 * total QUALIFY row_number() OVER (PARTITION BY gid, start ORDER BY r) = 1
+)""",
+        f"{name} AS ({_fit(f'{name}_half', scale, 'gid, start')})",
+    ]
 
 
 def quality_sql() -> str:
@@ -126,31 +152,42 @@ def quality_sql() -> str:
     FROM bins
 ), spreads AS (
     SELECT gid, dim, min(b) FILTER (through >= 0.5 * total) / 200 AS middle,
-           (min(b) FILTER (through >= 0.75 * total) / 200 - min(b) FILTER (through >= 0.25 * total) / 200) / 1.349 AS spread
+           (min(b) FILTER (through >= 0.75 * total) / 200 - min(b) FILTER (through >= 0.25 * total) / 200) / 1.349 AS spread0
     FROM placed GROUP BY gid, dim
+), off AS (
+    SELECT gid, dim, abs(b - round(middle * 200)) AS b, sum(n) AS n
+    FROM bins JOIN spreads USING (gid, dim) GROUP BY ALL
+), off_placed AS (
+    SELECT gid, dim, b, sum(n) OVER (PARTITION BY gid, dim ORDER BY b) AS through, sum(n) OVER (PARTITION BY gid, dim) AS total
+    FROM off
+), off_spreads AS (
+    SELECT gid, dim, min(b) FILTER (through >= 0.5 * total) / 200 / 0.6745 AS spread1 FROM off_placed GROUP BY gid, dim
+), starts AS (
+    SELECT gid, dim, middle, 0 AS start, spread0 AS spread FROM spreads
+    UNION ALL
+    SELECT gid, dim, middle, 1, spread1 FROM spreads JOIN off_spreads USING (gid, dim)
+    UNION ALL
+    SELECT gid, dim, middle, 2, 0 FROM spreads
 )""")
     starts = [f"max(middle) FILTER (dim = {i}) AS m{i}" for i in range(N)]
     starts += [f"sqrt(max(spread * spread) FILTER (dim = {i}) + {FLOORS[i] ** 2!r}) AS l{i}{i}" for i in range(N)]
     starts += [f"0.0::DOUBLE AS l{i}{j}" for i in range(N) for j in range(i)]
-    steps.append(f"fit0 AS (SELECT gid, {', '.join(starts)} FROM spreads GROUP BY gid)")
-    sums = _sums()
-    for k in range(3):
-        summed = ", ".join(f"{v} AS {c}" for c, v in sums.items())
-        nearer = ", ".join(f"sum({c}) OVER nearer AS {c}" for c in sums)
-        steps.append(f"far{k} AS ({_measured('vectors', f'fit{k}')})")
-        steps.append(f"range{k} AS (SELECT gid, floor(ln(1 + d2) * 20) AS r, {summed} FROM far{k} GROUP BY gid, r)")
-        steps.append(f"""near{k} AS (
-    SELECT gid, r, sum(n) OVER (PARTITION BY gid) AS total, {nearer}
-    FROM range{k} WINDOW nearer AS (PARTITION BY gid ORDER BY r ROWS UNBOUNDED PRECEDING)
-), half{k} AS (
-    SELECT * FROM near{k} WHERE n >= 0.75 * total QUALIFY row_number() OVER (PARTITION BY gid ORDER BY r) = 1
-)""")
-        steps.append(f"fit{k + 1} AS ({_fit(f'half{k}', SHORT_75 if k == 2 else 1.0)})")
-    summed = ", ".join(f"{v} AS {c}" for c, v in sums.items())
-    steps.append(f"far3 AS ({_measured('vectors', 'fit3')})")
-    steps.append(f"most AS (SELECT gid, {summed} FROM far3 WHERE d2 <= {WITHIN!r} GROUP BY gid)")
-    steps.append(f"fit4 AS ({_fit('most', SHORT_975)})")
-    steps.append(f"judged AS ({_measured('vectors', 'fit4')})")
+    steps.append(f"fit0 AS (SELECT gid, start, {', '.join(starts)} FROM starts GROUP BY gid, start)")
+    steps += _half("fit1", "fit0", 1.0)
+    for k in range(2, STEPS + 1):
+        steps += _half(f"new{k}", f"fit{k - 1}", 1.0)
+        better = ", ".join(
+            f"CASE WHEN a.size < b.size - {FALL!r} THEN a.{c} ELSE b.{c} END AS {c}" for c in [*NUMBERS, "size"]
+        )
+        steps.append(f"fit{k} AS (SELECT gid, start, {better} FROM new{k} a JOIN fit{k - 1} b USING (gid, start))")
+    steps += _half("scaled", f"fit{STEPS}", SHORT_50)
+    steps.append("best AS (SELECT * EXCLUDE (start) FROM scaled QUALIFY row_number() OVER (PARTITION BY gid ORDER BY size, start) = 1)")
+    summed = ", ".join(f"{v} AS {c}" for c, v in _sums().items())
+    steps.append(f"best_far AS ({_measured('vectors', 'best', 'gid')})")
+    steps.append(f"most AS (SELECT gid, {summed} FROM best_far WHERE d2 <= {WITHIN!r} GROUP BY gid)")
+    steps.append(f"last_fit AS ({_fit('most', SHORT_975, 'gid')})")
+    judged = _measured("(SELECT * FROM known WHERE fitted AND NOT base_failed)", "last_fit", "gid")
+    steps.append(f"judged AS ({judged})")
     # Each step is read by several later ones, so it is kept rather than computed again for each.
     kept = re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", ",\n".join(steps))
     return (
