@@ -314,6 +314,8 @@ LEFT JOIN (SELECT network_name, count(DISTINCT nid) AS idle FROM starts WHERE st
 LEFT JOIN (SELECT network_name, count(DISTINCT nid) AS players FROM starts WHERE played GROUP BY 1)
   USING (network_name)"""
 
+ON_TABLES["s01_bucketed_tables"] = ON_TABLES["q08_channel_ratio_window"]
+
 # Registrations joined to conversions, rows repeated: once per spelling of the
 # channel, and once per channel and distinct registration clock.
 ATTRIBUTION = """
@@ -599,6 +601,19 @@ FROM supplier AS s CROSS JOIN range(1, 13) AS m(month)
 LEFT JOIN lineitem AS l
   ON l.l_suppkey = s.s_suppkey AND month(l.l_shipdate) = m.month
 GROUP BY 1, 2""",
+    "k04_sparse_axis": """
+WITH facts AS (
+  SELECT l_suppkey, l_shipdate::DATE - DATE '1992-01-01' AS day, sum(l_quantity) AS quantity
+  FROM lineitem GROUP BY ALL
+), cells AS (
+  SELECT s_suppkey AS l_suppkey, d AS day, quantity,
+         sum(quantity) OVER (PARTITION BY s_suppkey ORDER BY d ROWS UNBOUNDED PRECEDING) AS total
+  FROM supplier CROSS JOIN range(10000) AS days(d)
+  LEFT JOIN facts ON facts.l_suppkey = s_suppkey AND facts.day = d
+)
+SELECT l_suppkey, count(*) AS days, count(quantity) AS days_shipped, round(sum(quantity), 6) AS quantity,
+       count(total) AS days_since_first, round(sum(total), 6) AS total_days
+FROM cells GROUP BY l_suppkey""",
     "k06_bucketize": """
 SELECT CASE WHEN l_discount = 0 OR l_extendedprice >= 50000 THEN 'rest'
             WHEN l_extendedprice >= 20000 THEN 'high'

@@ -36,6 +36,7 @@ from dayzero.sources import (
     Tables,
     shared_folder,
     snapshot_as_of,
+    store_by_user,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +184,23 @@ def k04_densify(spark, sf_dir):
     return ops.densify(spine, facts, ["l_suppkey", "ship_month"])
 
 
+def k04_sparse_axis(spark, sf_dir):
+    """Running quantity of each supplier on each of 10,000 days."""
+    day = F.datediff(F.to_date("l_shipdate"), as_date("1992-01-01"))
+    lines = raw(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("day"), "l_quantity")
+    facts = lines.groupBy("l_suppkey", "day").agg(F.sum("l_quantity").alias("quantity"))
+    facts = facts.withColumn("total", ops.running_total("quantity", ["l_suppkey"], ["day"]))
+    suppliers = raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    dense = ops.densify_runs(suppliers, facts, ["l_suppkey"], "day", range(10_000), carry=["total"])
+    return dense.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("days"),
+        F.count("quantity").alias("days_shipped"),
+        F.sum("quantity").alias("quantity"),
+        F.count("total").alias("days_since_first"),
+        F.sum("total").alias("total_days"),
+    )
+
+
 def k05_nested_split(spark, sf_dir):
     money = load(spark, sf_dir).common_gamemoney
     tail = nested_split("add_rsn", [(";", 1)], "long")
@@ -454,6 +472,13 @@ def s01_stored_tables(spark, sf_dir):
     return REPORTS["q02_register_time_distribution"](Tables.from_files(spark, root))
 
 
+def s01_bucketed_tables(spark, sf_dir):
+    """A report over marts that are stored by user."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    tables = store_by_user(load(spark, sf_dir), name, new_folder(spark, "bucketed"), buckets=8)
+    return REPORTS["q08_channel_ratio_window"](tables)
+
+
 def s_series(spark, sf_dir):
     month = F.month("o_orderdate").alias("month")
     totals = raw(spark, sf_dir, "orders").groupBy(month).agg(
@@ -723,6 +748,7 @@ OPERATORS: dict[str, Query] = {
         k02_first_return,
         k03_return_curve,
         k04_densify,
+        k04_sparse_axis,
         k05_nested_split,
         k06_bucketize,
         k07_attribution,
@@ -736,6 +762,7 @@ OPERATORS: dict[str, Query] = {
         k15_minutes_hist,
         k16_two_day_matrix,
         s01_stored_tables,
+        s01_bucketed_tables,
         s_series,
         p_predicates,
         p_struct_access,

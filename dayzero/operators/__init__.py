@@ -13,7 +13,7 @@ from dayzero.operators.distinct import distinct_counts, distinct_fold, number_us
 from dayzero.operators.engagement import consecutive_day_counts, two_day_matrix
 from dayzero.operators.first_event import first_event
 from dayzero.operators.funnel import device_funnel
-from dayzero.operators.grid import densify, grid, running_total
+from dayzero.operators.grid import densify, densify_runs, grid, running_total
 from dayzero.operators.loading import login_loading
 from dayzero.operators.metrics import join_metrics, none_if_zero
 from dayzero.operators.minutes import minutes_between_hist
@@ -39,6 +39,7 @@ __all__ = [
     "cumulative_revenue",
     "day0_cohort",
     "densify",
+    "densify_runs",
     "device_funnel",
     "distinct_counts",
     "distinct_fold",
