@@ -65,10 +65,16 @@ EDGE = 8
 HELD_CONTENTS = 100_000
 SALTS = 32
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""",
-    re.DOTALL,
-)
+#: A tag begins here, one that opens an element ends here, and the others.
+TAG_START = re.compile(r"<[a-zA-Z!?/]")
+OPENING = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
+UNENDED = re.compile(r"""<([a-zA-Z][^\s/>]*+)(?:[^>"']|"[^"]*+"|'[^']*+')*+""")
+NAME = re.compile(r"<([a-zA-Z][^\s/>]*+)")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?", re.DOTALL)
+#: Tags with a quote that is never closed, beyond which a page's tags end at the first >, whatever is quoted.
+BROKEN = 20
+#: Open elements beyond which further ones are not kept apart.
+DEEPEST = 512
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -201,6 +207,47 @@ class _Open:
     story: Part | None = None
 
 
+@dataclass(slots=True)
+class _Tags:
+    """The tags of a page, found in one pass.
+
+    A tag that holds an unclosed quote ends at the first > after it, one that never ends is dropped with what follows it,
+    so no markup is left in the text.
+    """
+
+    page: str
+    last: int
+    broken: int = 0
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        """Start and end of the first tag from a place on, the element that it closes or opens, and its attributes."""
+        page = self.page
+        while found := TAG_START.search(page, at):
+            start = found.start()
+            if not page[start + 1].isalpha():
+                other = OTHER.match(page, start)
+                if other:
+                    return start, other.end(), other.group(1), None, ""
+                at = start + 2
+                continue
+            if start > self.last:
+                return start, len(page), None, None, ""
+            tag = OPENING.match(page, start) if self.broken < BROKEN else None
+            if tag:
+                return start, tag.end(), None, tag.group(1), tag.group(2)
+            self.broken += 1
+            if self.broken > BROKEN:
+                tag = NAME.match(page, start)
+                end = page.find(">", tag.end())
+            else:
+                tag = UNENDED.match(page, start)
+                end = page.find(">", tag.end() if tag.end() < len(page) else tag.end(1))
+            if end < 0:
+                return start, len(page), None, None, ""
+            return start, end + 1, None, tag.group(1), page[tag.end(1) : end]
+        return None
+
+
 def parse(page: str | None) -> tuple[Node, list[Block]]:
     """The tree of block elements and the blocks of text, in page order. Texts are not yet signed."""
     root = Node("#page")
@@ -229,16 +276,16 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
     in_head = False
     at = 0
     end = len(page)
+    tags = _Tags(page, page.rfind(">"))
     while at < end:
-        found = TAG.search(page, at)
-        stop = found.start() if found else end
+        found = tags.next(at)
+        stop = found[0] if found else end
         if stop > at:
             piece = page[at:stop]
             pending.append(entities.unescape(piece) if "&" in piece else piece)
         if not found:
             break
-        at = found.end()
-        closing, opening = found.group(1), found.group(2)
+        _, at, closing, opening, attributes = found
         if closing:
             tag = closing.lower()
             if tag in ("body", "html"):
@@ -254,7 +301,7 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
                 if inline and stack[i].block:
                     break
         elif opening:
-            tag, attributes = opening.lower(), found.group(3)
+            tag = opening.lower()
             if tag == "br" or tag == "wbr":
                 pending.append(" " if tag == "br" else "")
                 continue
@@ -292,7 +339,7 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
                             break
                     if lowest is not None:
                         close(lowest)
-            if attributes.endswith("/") and not block:
+            if attributes.endswith("/") and not block or len(stack) > DEEPEST:
                 continue
             top = stack[-1]
             region = top.region | (2 if tag == "article" else 1 if tag == "main" or "articleBody" in attributes else 0)

@@ -42,6 +42,27 @@ def test_parts_of_a_page(page, expected):
     assert text(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<p>ok</p>" + "<a " * 300_000, "ok"),
+        ("<p>ok</p>" + '<a b=" x ' * 100_000, "ok"),
+        ("<p>ok</p><a " + """'>' <b """ * 100_000, None),
+        ("<div>" * 50_000 + "deep", "deep"),
+        ("<p>x<a href='never closed>link</a><p>y", "xlink\ny"),
+        ("<p>x<a href='never closed", "x"),
+        ("<p>a<b title='>' class=\"c>d</b>e", "ade"),
+    ],
+)
+def test_broken_tags_take_linear_time_and_leave_no_markup(page, expected):
+    import time
+
+    start = time.perf_counter()
+    got = text(page)
+    assert time.perf_counter() - start < 20
+    assert "<" not in got and (expected is None or got == expected)
+
+
 def test_very_deep_and_very_long_pages():
     assert text("<div>" * 5000 + "x" + "</div>" * 5000 + "y") == "x\ny"
     hx.page_wrapper(*hx.parse("<div><p>" * 3000 + "x"))
