@@ -5,14 +5,16 @@ and what it gives up is dealt to the others by weight until none is above (solve
 order in which they reach their caps). A source is taken in whole epochs first. What is left of its target is filled
 from its documents in the order of exponential keys -ln(u) / w, u a hash of the document's id in (0, 1), w its quality
 weight: the documents whose running total stays within the budget are taken. A document that no longer fits is passed
-over, and five more passes take later ones of the same range of keys that do.
+over, and five more passes take later ones of the same range of keys that do. The few words that are then left go to the
+source's smallest documents that were not taken, those of one size by their keys, so that in the end a source is short
+of its target by less than any document it could still take.
 
 A source's keys are first summed in ranges, so only the one range in which the budget ends is sorted. Its share of the
 source falls as the table grows, which keeps a source with a third of all rows from meeting in one task.
 
 Sources are ordered by code point, NULL last, and weights repeat in that order. Null or empty texts have size 0 and are
 taken 0 words. A source of size 0 has target 0. Rows with equal ids have equal keys; they are ordered by their size and
-text, and equal rows are interchangeable. An empty table gives an empty result. Input columns are carried in one struct,
+text, and equal rows are interchangeable; the last words take all of them or none. An empty table gives an empty result. Input columns are carried in one struct,
 so they may have any names.
 """
 
@@ -83,12 +85,11 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep_table: bool = False,
 ) -> DataFrame:
     """One row per document: row (struct of the carried columns), size, source_size, target, copies, taken.
 
-    copies is how often the document is taken, taken is copies * size. With keep_table the documents' sizes and keys are
-    written to the shared folder instead of being computed twice; use it where few columns are carried.
+    copies is how often the document is taken, taken is copies * size. The rows are written to the shared folder with their
+    sizes and keys, so each text is read and counted once.
     """
     text = F.col(text_col)
     sized = docs.select(
@@ -99,12 +100,8 @@ def mix(
         exponential_key(F.col(id_col), quality_weight(text), seed).alias("key"),
         F.xxhash64(text).alias("tie"),
     )
-    if keep_table:
-        sized = written(sized, "mix-sizes")
-        ranges = sized.count()
-    else:
-        ranges = docs.count()
-    ranges = min(MAX_RANGES, max(1, ranges // RANGE_ROWS))
+    sized = written(sized, "mix-sizes")
+    ranges = min(MAX_RANGES, max(1, sized.count() // RANGE_ROWS))
     sized = sized.withColumn(
         "range", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("long")
     )
@@ -139,9 +136,10 @@ def mix(
     )
     planned = sized.join(plan, F.col("source").eqNullSafe(F.col("g_source")))
     clear = planned.where(F.col("range") != F.col("end_range")).withColumn("chosen", F.col("range") < F.col("end_range"))
-    edge = _fill(planned.where(F.col("range") == F.col("end_range")))
+    edge = written(_fill(planned.where(F.col("range") == F.col("end_range"))), "mix-edge")
+    decided = _top_up(clear.unionByName(edge.select(clear.columns)), edge)
     copies = F.col("epochs") + F.col("chosen").cast("long")
-    return clear.unionByName(edge).select(
+    return decided.select(
         "row",
         "size",
         "source_size",
@@ -164,4 +162,45 @@ def _fill(edge: DataFrame) -> DataFrame:
         edge = edge.withColumn("new", new)
         edge = edge.withColumn("room", F.col("room") - F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(whole))
         edge = edge.withColumn("chosen", F.col("chosen") | F.col("new"))
-    return edge.select(*columns)
+    return edge.select(*columns, "room")
+
+
+def _top_up(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """rows with the smallest documents chosen that fit into what is left of their source's budget.
+
+    Sizes are counted first: all documents below some size fit, and of that size so many. These are the first by their
+    keys, of which each task keeps no more than any source can need.
+    """
+    rooms = edge.groupBy(F.col("source").alias("t_source")).agg(F.min("room").alias("room")).where("room >= 1")
+    rooms = written(rooms, "mix-rooms")
+    same = F.col("source").eqNullSafe(F.col("t_source"))
+    open_ones = rows.where("not chosen and size > 0").select("source", "size", "key", "id", "tie")
+    open_ones = open_ones.join(rooms, same).where(F.col("size") <= F.col("room")).drop("t_source")
+    sizes = open_ones.groupBy("source", "room", "size").agg(F.sum("size").alias("words"))
+    sizes = sizes.withColumn("through", F.sum("words").over(Window.partitionBy("source").orderBy("size")))
+    beyond = sizes.where(F.col("through") > F.col("room")).groupBy("source", "room").agg(
+        F.min(F.struct("size", (F.col("through") - F.col("words")).alias("below"))).alias("at")
+    )
+    beyond = beyond.select(
+        F.col("source").alias("b_source"),
+        F.col("at.size").alias("b_size"),
+        F.floor((F.col("room") - F.col("at.below")) / F.col("at.size")).cast("long").alias("many"),
+    )
+    beyond = written(beyond, "mix-sizes-left")
+    most = beyond.agg(F.max("many")).first()[0] or 0
+    last = open_ones.join(beyond, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")))
+    last = last.groupBy("source", "many", "key", "id", "tie").agg(F.count("*").alias("n"))
+    by_key = Window.partitionBy("source").orderBy("key", "id", "tie")
+    last = last.withColumn("nth", F.row_number().over(by_key)).where(F.col("nth") <= F.lit(most))
+    last = last.withColumn("through", F.sum("n").over(by_key)).where(F.col("through") <= F.col("many"))
+    last = last.groupBy(F.col("source").alias("l_source")).agg(F.max(F.struct("key", "id", "tie")).alias("last"))
+    limits = rooms.join(beyond, F.col("t_source").eqNullSafe(F.col("b_source")), "left")
+    limits = limits.join(last, F.col("t_source").eqNullSafe(F.col("l_source")), "left")
+    limits = written(limits.select("t_source", "room", "b_size", "last"), "mix-limits")
+    limits = limits.withColumnRenamed("room", "t_room")
+    small = F.col("size") < F.coalesce("b_size", F.floor("t_room") + 1)
+    first = (F.col("size") == F.col("b_size")) & (F.struct("key", "id", "tie") <= F.col("last"))
+    fits = F.coalesce(~F.col("chosen") & (F.col("size") > 0) & (small | F.coalesce(first, F.lit(False))), F.lit(False))
+    # Few sources have room left; the others have no limits.
+    joined = rows.join(limits, same, "left")
+    return joined.withColumn("chosen", F.col("chosen") | (fits & F.col("t_room").isNotNull())).select(*rows.columns)

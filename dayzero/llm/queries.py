@@ -60,7 +60,7 @@ def op6_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"), carried=["doc_id"], keep_table=True)
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), carried=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
