@@ -88,7 +88,7 @@ class Scorer:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """text and toxic of the labelled documents in the sample."""
+    """text and toxic of the labelled documents in the sample; of rows that share an id one text, so the sample is bounded."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col("doc_id").alias("l_id"))
@@ -98,7 +98,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     picked = known.where(F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About `sample` rows of nine bytes, whatever the tables hold.
     texts = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("text", "toxic")
+    found = texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id"))
+    return found.groupBy("l_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:

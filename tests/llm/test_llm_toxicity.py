@@ -56,6 +56,18 @@ def test_sample_is_bounded_and_repeatable(corpus):
     np.testing.assert_allclose(list(one.weights.values()), list(two.weights.values()), rtol=1e-6, atol=1e-6)
 
 
+def test_a_repeated_id_is_sampled_once(corpus, docs):
+    table, labels = corpus
+    hot = labels.first().doc_id
+    more = table.unionByName(docs([(hot, f"text {i % 50}", "en", "s") for i in range(5000)]))
+    n = labels.select("doc_id").distinct().count()
+    for sample in (100, 10 * n):
+        rows = tx._sampled(more, labels, sample, "doc_id", "text").collect()
+        assert len(rows) <= min(n, 2 * sample)
+    one, two = (tx.train(more.repartition(k), labels) for k in (2, 5))
+    assert one.weights.keys() == two.weights.keys()
+
+
 def test_without_labels_of_both_kinds(corpus, docs, spark):
     table, labels = corpus
     for known in (labels.where("false"), labels.where("toxic = 0"), labels.selectExpr("doc_id", "cast(null as int) toxic")):
