@@ -528,6 +528,10 @@ GROUP BY model"""
 ON_TABLES["q23_device_funnel"] = _funnel(f"_i_t < {BEFORE}")
 ON_TABLES["k14_device_funnel"] = _funnel("true")
 
+ON_TABLES["q07_loading_time_prefiltered"] = ON_TABLES["q07_loading_time_engagement"]
+ON_TABLES["q20_loading_country_prefiltered"] = ON_TABLES["q20_loading_country_not_entered"]
+ON_TABLES["q21_loading_country_prefiltered"] = ON_TABLES["q21_loading_country_played"]
+ON_TABLES["q22_loading_prefiltered"] = ON_TABLES["q22_loading_played"]
 for _name in ("q04_return_curve", "q17_return_stats", "q18_return_depth"):
     ON_TABLES[f"{_name[:3]}_from_state"] = ON_TABLES[_name]
 

@@ -406,6 +406,11 @@ def w_running_orders(spark, sf_dir):
     return running.select("o_orderkey", "o_orderpriority", F.round("running", 2).alias("running"))
 
 
+def _prefiltered(name: str, bits: int) -> Query:
+    """A report whose raw log is reduced to likely members of its cohort first."""
+    return lambda spark, sf_dir: REPORTS[name](load(spark, sf_dir), member_bits=bits)
+
+
 def _from_fold(period: Callable[[], Column]) -> Query:
     """The weekly report's counts by some period, from a stored fold by day."""
 
@@ -443,6 +448,10 @@ def q18_from_state(spark, sf_dir):
 KEPT: dict[str, Query] = {
     "q01_daily_count_versioned": _versioned(dt.datetime(2024, 1, 9, 12)),
     "q01_daily_count_versioned_late": _versioned(dt.datetime(2024, 1, 12)),
+    "q07_loading_time_prefiltered": _prefiltered("q07_loading_time_engagement", 20),
+    "q20_loading_country_prefiltered": _prefiltered("q20_loading_country_not_entered", 8),
+    "q21_loading_country_prefiltered": _prefiltered("q21_loading_country_played", 20),
+    "q22_loading_prefiltered": _prefiltered("q22_loading_played", 20),
     "q12_weekly_from_fold": _from_fold(lambda: week_of_year("reg_datekey")),
     "q12_monthly_from_fold": _from_fold(lambda: F.month("reg_datekey")),
     **{

@@ -17,6 +17,7 @@ from dayzero.operators.grid import densify, densify_runs, grid, running_total
 from dayzero.operators.loading import login_loading
 from dayzero.operators.metrics import join_metrics, none_if_zero
 from dayzero.operators.minutes import minutes_between_hist
+from dayzero.operators.prefilter import likely_members
 from dayzero.operators.returns import (
     cohort_returns,
     first_return,
@@ -47,6 +48,7 @@ __all__ = [
     "first_return",
     "grid",
     "join_metrics",
+    "likely_members",
     "login_loading",
     "minutes_between_hist",
     "none_if_zero",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayzero.constants import COUNTRIES, OTHER_COUNTRY
 from dayzero.functions import date_range
 from dayzero.functions.dates import DateLike, TimeLike
-from dayzero.operators import day0_cohort, device_funnel, first_event
+from dayzero.operators import day0_cohort, device_funnel, first_event, likely_members
 from dayzero.operators.cohorts import in_cohort
 from dayzero.operators.loading import loading_bucket
 from dayzero.sources.tables import Tables
@@ -63,11 +63,19 @@ def first_login_loading(
     reg_from: DateLike = "2019-09-11",
     countries: Sequence[str] | None = COUNTRIES,
     other: str = OTHER_COUNTRY,
+    member_bits: int | None = None,
 ) -> DataFrame:
     """Cohort users by the loading time of their first login and, unless
-    ``countries`` is None, by country (``other`` for any not listed)."""
+    ``countries`` is None, by country (``other`` for any not listed).
+
+    ``member_bits`` reads the cohort once more to drop other users' logins
+    before they are folded; worth it where the cohort is a small part of the log.
+    """
     cohort = day0_cohort(tables.f_max_campaign, kind, reg_from=reg_from)
-    first = first_event(tables.common_login, "nid", ["_i_t", "_id"], ["loading_time_ms"])
+    logins = tables.common_login
+    if member_bits is not None:
+        logins = likely_members(logins, cohort, "nid", member_bits)
+    first = first_event(logins, "nid", ["_i_t", "_id"], ["loading_time_ms"])
     users = first.join(cohort, "nid", "left_semi").select(
         "nid", loading_bucket(F.col("loading_time_ms") / 1000).alias("loading_time_ms")
     )

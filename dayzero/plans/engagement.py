@@ -21,6 +21,7 @@ from dayzero.functions.dates import DateLike, TimeLike
 from dayzero.operators import (
     consecutive_day_counts,
     day0_cohort,
+    likely_members,
     login_loading,
     none_if_zero,
     transition_matrix,
@@ -100,18 +101,24 @@ def loading_time_engagement(
     reasons: Sequence[str] = LOGIN_REASONS,
     strict: bool = False,
     every_hour: bool = True,
+    member_bits: int | None = None,
 ) -> DataFrame:
     """Users by registration day and loading time of that day, in four groups:
     played and advanced on day 1, played and did not advance, did not enter but
     played within ``late_days``, did not enter.
 
     Only days and loading times of users who advanced are listed.  Each table
-    is read once: all four groups are flags of one user row.
+    is read once: all four groups are flags of one user row.  ``member_bits``
+    reads the progress once more, to drop the logins of users who registered
+    outside the window before they are folded.
     """
     groups = _engagement_groups(tables.f_max_campaign, reg_from, reg_to, late_days)
     # Only logins of a registration day can match.
     in_window = time_range("_i_t", reg_from, days_after(reg_to, 1))
     money_log = tables.common_gamemoney.filter(in_window)
+    if member_bits is not None:
+        registered = tables.f_max_campaign.filter(date_range("reg_datekey", reg_from, reg_to))
+        money_log = likely_members(money_log, registered, "nid", member_bits)
     loading = login_loading(money_log, before, reasons, strict, every_hour)
     counts = (
         loading.join(groups, ["nid", "reg_datekey"])

@@ -1,4 +1,4 @@
-"""Marts stored by user, and long axes without a grid."""
+"""Marts stored by user, long axes without a grid, logs reduced to likely members."""
 
 from __future__ import annotations
 
@@ -128,3 +128,38 @@ def test_runs_need_ascending_steps(frame):
     for steps in (range(0), range(5, 0, -1)):
         with pytest.raises(ValueError, match="ascending"):
             ops.densify_runs(facts, facts, ["k"], "step", steps)
+
+
+@pytest.mark.parametrize("bits", [6, 9, 20])
+def test_likely_members(spark, frame, rows, bits):
+    pick = random.Random(bits)
+    log = frame("nid bigint, x bigint", *[(pick.choice([None, pick.randrange(-900, 900)]), i) for i in range(3000)])
+    members = frame("nid bigint, y bigint", *[(k, 1) for k in (None, *range(0, 60), 3, 3)])
+    kept = rows(ops.likely_members(log, members, "nid", bits))
+    wanted = {r for r in rows(log) if r[0] is not None and 0 <= r[0] < 60}
+    assert wanted <= set(kept) and len(kept) == len(set(kept)) and all(k is not None for k, _ in kept)
+    others = len(kept) - len(wanted)
+    expected = 1500 * (1 - (1 - 2.0**-bits) ** 60)
+    assert others <= 1.5 * expected + 20
+    assert rows(ops.likely_members(log, members.limit(0), "nid", bits)) == []
+
+
+def test_bitmaps_are_bounded(frame):
+    log = frame("nid bigint", (1,))
+    for bits in (5, 27):
+        with pytest.raises(ValueError, match="bitmap"):
+            ops.likely_members(log, log, "nid", bits)
+
+
+@pytest.mark.parametrize(
+    "name", ["q07_loading_time_engagement", "q20_loading_country_not_entered", "q21_loading_country_played", "q22_loading_played"]
+)
+def test_logs_are_reduced_before_they_are_folded(files, no_broadcast, rows, name):
+    report = REPORTS[name]
+    found = report(files, member_bits=12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    log = next(i for i, line in enumerate(lines) if "Relation" in line and ("rsn" in line or "loading_time_ms" in line))
+    above = next(i for i in range(log, -1, -1) if "Join" in lines[i] or "Aggregate" in lines[i])
+    assert "Join Inner" in lines[above] and "_member_word" in lines[above]
+    assert sorted(rows(found), key=repr) == sorted(rows(report(files)), key=repr)
