@@ -540,7 +540,7 @@ WITH turns AS (
 ), counted AS (
     SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.parent = l.node
 ), subtrees AS (
-    SELECT a.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+    SELECT a.node, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
     FROM counted n JOIN reached a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.node
 )
 SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
