@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ def minutes_between_hist(
         "clocks", lambda c: c.kind == END
     )
     gaps = days.filter(complete).select(
-        "nid", F.explode(_minute_gaps(F.col("clocks"))).alias("minutes")
+        "nid", F.explode(_gaps_of_clocks(starts.sparkSession.sparkContext)).alias("minutes")
     )
     minutes = gaps.groupBy("minutes").agg(F.count_distinct("nid").alias("users"))
     return (
@@ -66,6 +69,12 @@ def _clock_minutes(events: DataFrame, kind: int) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1)
+def _gaps_of_clocks(context: SparkContext) -> Column:
+    """The expression is long and always the same, so it is put together once per Spark context."""
+    return _minute_gaps(F.col("clocks"))
+
+
 def _minute_gaps(clocks: Column) -> Column:
     """The distinct whole minutes, cut toward zero, from any start to any end.
 
