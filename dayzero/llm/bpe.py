@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dayzero.llm.letters import Splitter, tokenizers_classes
 
-#: Words whose encodings a worker remembers before it starts anew.
+#: Words, and pairs of tokens, that a worker remembers before it starts anew.
 REMEMBERED = 500_000
 #: What the tokenizer file has to say: the normaliser and the splitter that this module carries out.
 NORMALIZER = {
@@ -195,8 +195,9 @@ class Encoder:
         self.merges = Merges(path)
         self.split = Splitter(self.merges.pattern, tokenizers_classes())
         self.library_normal = Tokenizer.from_file(path).normalizer.normalize_str
-        #: Of each word the ids as a string and as 32-bit numbers.
-        self.known: dict[str, tuple[str, bytes]] = {}
+        #: Of each word the ids as 32-bit numbers; as strings they are written by decimals.
+        self.known: dict[str, bytes] = {}
+        self.decimals = list(map(str, range(max(self.merges.strings) + 1)))
         specials = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         for s in specials:
@@ -221,13 +222,15 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = dict(self.fixed)
+        if len(self.merges._apart) > REMEMBERED:
+            self.merges._apart.clear()
         ids = self.merges.ids
         for word, tokens in self.merges.encode_words(w for w in words if w not in self.known).items():
             self.known[word] = self.entry([ids[t] for t in tokens])
 
     @staticmethod
-    def entry(ids: list[int]) -> tuple[str, bytes]:
-        return " ".join(map(str, ids)), array("i", ids).tobytes()
+    def entry(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[array, str]]:
         """The ids of each text, as numbers and as a string."""
@@ -235,10 +238,9 @@ class Encoder:
         self.learn(set().union(*cut))
         known = self.known
         for words in cut:
-            own = list(map(known.__getitem__, words))
             ids = array("i")
-            ids.frombytes(b"".join([f[1] for f in own]))
-            yield ids, " ".join([f[0] for f in own])
+            ids.frombytes(b"".join(map(known.__getitem__, words)))
+            yield ids, " ".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.merges.strings.__getitem__, ids))

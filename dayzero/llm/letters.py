@@ -15,6 +15,8 @@ from itertools import islice
 
 #: The classes that a pattern may name.
 NAMED = (r"\p{L}", r"\p{N}", r"\s")
+#: Characters that a library is asked for at once: what it returns takes some hundred bytes of memory for each.
+ASKED = 1 << 12
 #: Longer texts are cut into pieces step by step.
 LONG_TEXT = 1 << 20
 STEP_PIECES = 1 << 16
@@ -24,6 +26,10 @@ def all_characters() -> str:
     return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
 
+def in_parts(text: str) -> Iterator[str]:
+    return (text[i : i + ASKED] for i in range(0, len(text), ASKED))
+
+
 def in_ranges(members: str, end: int) -> str:
     """Members of a class below a code point as the inside of a bracket."""
     out: list[list[int]] = []
@@ -44,7 +50,7 @@ def tiktoken_classes() -> dict[str, str]:
     found = {}
     for name in NAMED:
         coder = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-        found[name] = coder.decode_bytes(coder.encode_ordinary(all_characters())).decode()
+        found[name] = "".join(coder.decode_bytes(coder.encode_ordinary(part)).decode() for part in in_parts(all_characters()))
     return found
 
 
@@ -56,7 +62,7 @@ def tokenizers_classes() -> dict[str, str]:
     found = {}
     for name in NAMED:
         split = pre_tokenizers.Split(Regex(name), behavior="removed", invert=True)
-        found[name] = "".join(piece for piece, _ in split.pre_tokenize_str(all_characters()))
+        found[name] = "".join(piece for part in in_parts(all_characters()) for piece, _ in split.pre_tokenize_str(part))
     return found
 
 

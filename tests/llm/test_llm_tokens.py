@@ -91,6 +91,39 @@ def test_every_character_as_in_the_library():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)] == expected
 
 
+@pytest.mark.parametrize("library", ["tokenizers", "tiktoken"])
+def test_letter_classes_take_little_memory(library):
+    """Every worker asks for them as it starts, so what this takes for a moment counts once per core."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import resource, tokenizers, tiktoken; from dayzero.llm import letters\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\n"
+        f"start = peak(); found = letters.{library}_classes(); print(peak() - start, *map(len, found.values()))"
+    )
+    root = Path(id_files.__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    grown, *sizes = map(int, said.split())
+    assert grown < 110 and min(sizes) > 20, said
+
+
+def test_encoder_forgets_words_and_pairs(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    library, own = Tokenizer.from_file(WORDS), bpe.Encoder(WORDS)
+    texts = odd_texts(400, seed=11)
+    for i in range(0, len(texts), 10):
+        part = texts[i : i + 10]
+        for text, (ids, written) in zip(part, own.encode(part), strict=True):
+            expected = library.encode(text, add_special_tokens=False).ids
+            assert (list(ids), written) == (expected, " ".join(map(str, expected))), text
+    list(own.encode(texts))
+    assert min(len(own.known), len(own.merges._apart)) > 200
+    list(own.encode(["zq"]))
+    assert max(len(own.known), len(own.merges._apart)) < 50
+
+
 def test_files_that_ask_for_something_else_are_refused(tmp_path):
     import json
 
