@@ -18,8 +18,8 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 2_048
-#: Blocks that are coded side by side.
-LANES = 4_096
+#: About how many blocks are coded side by side: with more, what they have learnt no longer fits the caches.
+LANES = 1_536
 SLOTS1, SLOTS2 = 1_024, 2_048
 CONFIDENT = 7
 NIBBLE = 16
@@ -253,11 +253,17 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, at_work
 
 
+def _shares(n: int) -> list[tuple[int, int]]:
+    """n blocks in even shares of about LANES, as few lanes cost as many steps as many."""
+    parts = max(1, round(n / LANES))
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+
+
 def write_blocks(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
     """Each block with its header: kind, nibbles, 0, number of ids, crc32 of the ids as unsigned 32-bit numbers."""
     out: list[bytes] = [b""] * len(blocks)
-    for first in range(0, len(blocks), LANES):
-        part = blocks[first : first + LANES]
+    for first, end in _shares(len(blocks)):
+        part = blocks[first:end]
         lengths = np.array([len(b) for b in part])
         order, at_work = _by_length(lengths)
         table = np.zeros((int(lengths.max(initial=0)), len(part)), np.int32)
@@ -285,8 +291,8 @@ def read_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         else:
             coded.setdefault(nibbles, []).append(i)
     for nibbles, members in coded.items():
-        for first in range(0, len(members), LANES):
-            part = members[first : first + LANES]
+        for first, end in _shares(len(members)):
+            part = members[first:end]
             lengths = np.array([heads[i][3] for i in part])
             order, at_work = _by_length(lengths)
             model = _Model(len(part), nibbles)

@@ -19,6 +19,7 @@ columns are read, so other columns may have any names. Ids of documents are whol
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayzero.llm.common import shared_folder
-from dayzero.llm.context_coder import BLOCK_IDS, LANES, nibbles_for, read_blocks, write_blocks
+from dayzero.llm.context_coder import BLOCK_IDS, nibbles_for, read_blocks, write_blocks
 from dayzero.llm.letters import Splitter, tokenizers_classes
 
 CHUNK_IDS = 512 * BLOCK_IDS
+#: Blocks that a task holds to code them together.
+HELD = 4_096
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIII")  # magic, documents, blocks, bytes of the index
 #: Words whose ids a worker remembers before it starts anew.
@@ -52,6 +55,8 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Every core has a task of its own; the library's threads would only cost time here.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         cut = {k: v for k, v in (spec["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
@@ -158,7 +163,7 @@ def write_files(
                     if in_chunk >= CHUNK_IDS:
                         chunks.append([])
                         held, in_chunk = held + in_chunk, 0
-                        if held >= LANES * BLOCK_IDS:
+                        if held >= HELD * BLOCK_IDS:
                             chunks.pop()
                             yield coded()
                             chunks, held = [[]], 0
@@ -183,7 +188,7 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
             for i in range(batch.num_rows):
                 waiting.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *unpack(batch.column(2)[i].as_py())))
                 n_blocks += len(waiting[-1][4])
-                if n_blocks >= LANES or i == batch.num_rows - 1:
+                if n_blocks >= HELD or i == batch.num_rows - 1:
                     yield decoded(waiting)
                     waiting, n_blocks = [], 0
 
