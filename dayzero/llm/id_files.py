@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,28 @@ from dayzero.llm.letters import Splitter, tokenizers_classes
 CHUNK_IDS = 512 * BLOCK_IDS
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIII")  # magic, documents, blocks, bytes of the index
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
-#: How the library cuts texts before it looks for bytes, if its file asks for it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words whose ids a worker remembers before it starts anew, and how many ids these may have on average.
+REMEMBERED, IDS_PER_WORD = 1_000_000, 8
+#: How the library cuts texts before it looks for bytes, if its file asks for it. Letters and digits are asked for first,
+#: as most pieces begin with them or with a space; contractions must only come before other symbols.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+class _Numbers(dict):
+    """Words and the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class WordEncoder:
-    """ids of texts by a byte-level tokenizer file, as bytes of unsigned 32-bit numbers."""
+    """ids of texts by a byte-level tokenizer file, as unsigned 32-bit numbers.
+
+    Words are numbered as they come. The ids of all numbers lie one after the other in one array, so those of a batch of
+    texts are taken from it at once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,10 +77,24 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.largest = max(self.library.get_vocab_size(with_added_tokens=True), *added.values(), 1)
-        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
+        self.fixed = added
         ordered = sorted(added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, ordered)) + ")") if ordered else None
-        self.known = dict(self.fixed)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Numbers((s, n) for n, s in enumerate(self.fixed))
+        self.ids = np.array(list(self.fixed.values()), "<u4")
+        #: Where the ids of each number begin; the last is where those of the next one will.
+        self.starts = np.arange(len(self.ids) + 1)
+
+    def learn(self, words: list[str]) -> None:
+        """Ask the library for the ids of the words that follow those already asked for."""
+        # As one sequence of words that are each cut and encoded by themselves; that is faster than one call for each.
+        coded = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.array(coded.ids, "<u4")])
 
     def words(self, text: str) -> list[str]:
         cut = self.split.findall
@@ -77,14 +105,21 @@ class WordEncoder:
             out += [part] if i % 2 else cut(part)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.words(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.fixed)
-        new = list(set().union(*cut).difference(self.known))
-        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED or len(self.ids) > REMEMBERED * IDS_PER_WORD:
+            self.forget()
+        before, number = len(self.known), self.known.__getitem__
+        # Text by text, so that the words of one are gone before the next is cut.
+        cut = [np.fromiter(map(number, self.words(t or "")), np.int64) for t in texts]
+        if len(self.known) > before:
+            self.learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
+        numbers = np.concatenate([np.empty(0, np.int64), *cut])
+        starts = self.starts.take(numbers)
+        sizes = self.starts.take(numbers + 1) - starts
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids.take(np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]))
+        text_ends = ends[np.cumsum([0, *map(len, cut)])].tolist()
+        return [ids[a:b] for a, b in pairwise(text_ends)]
 
 
 @lru_cache(maxsize=2)
@@ -92,11 +127,11 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pack(docs: list[tuple[int | None, bytes]], blocks: list[bytes]) -> bytes:
-    """A chunk: its documents' ids and lengths, then its blocks."""
+def pack(docs: list[tuple[int | None, np.ndarray]], blocks: list[bytes]) -> bytes:
+    """A chunk: its documents' ids and lengths with the end id, then its blocks."""
     numbers = np.array([0 if i is None else i for i, _ in docs], "<i8")
     known = np.array([i is not None for i, _ in docs], np.uint8)
-    lengths = np.array([len(ids) // 4 for _, ids in docs], "<u4")
+    lengths = np.array([len(ids) + 1 for _, ids in docs], "<u4")
     sizes = np.array([len(b) for b in blocks], "<u4")
     index = zlib.compress(numbers.tobytes() + known.tobytes() + lengths.tobytes() + sizes.tobytes(), 6)
     head = HEAD.pack(MAGIC, len(docs), len(blocks), len(index))
@@ -126,17 +161,17 @@ def write_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         nibbles = nibbles_for(max(encoder.largest, end_id))
         shard = TaskContext.get().partitionId()
-        chunks: list[list[tuple[int | None, bytes]]] = [[]]
+        chunks: list[list[tuple[int | None, np.ndarray]]] = [[]]
         held = in_chunk = first = 0
 
         def coded() -> pa.RecordBatch:
             nonlocal first
             cut, counts = [], []
             for chunk in chunks:
-                ids = np.frombuffer(b"".join(ids for _, ids in chunk), "<u4")
+                ids = np.concatenate([part for _, ids in chunk for part in (ids, end)])
                 parts = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
                 cut += parts
                 counts.append(len(parts))
@@ -144,7 +179,7 @@ def write_files(
             rows = {
                 "shard": pa.array([shard] * len(chunks), pa.int32()),
                 "chunk": pa.array(range(first, first + len(chunks)), pa.int64()),
-                "n_ids": pa.array([sum(len(ids) // 4 for _, ids in c) for c in chunks], pa.int64()),
+                "n_ids": pa.array([sum(len(ids) + 1 for _, ids in c) for c in chunks], pa.int64()),
                 "payload": pa.array([pack(c, [next(blocks) for _ in range(n)]) for c, n in zip(chunks, counts, strict=True)]),
             }
             first += len(chunks)
@@ -162,8 +197,8 @@ def write_files(
                             chunks.pop()
                             yield coded()
                             chunks, held = [[]], 0
-                    chunks[-1].append((doc_id, ids + end))
-                    in_chunk += len(ids) // 4 + 1
+                    chunks[-1].append((doc_id, ids))
+                    in_chunk += len(ids) + 1
         if chunks[-1]:
             yield coded()
 
@@ -194,7 +229,7 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
             ids = np.concatenate([*[next(blocks) for _ in coded], np.empty(0, np.uint32)]).astype("<u4")
             ends = np.cumsum(lengths, dtype=np.int64)
             for doc_id, start, end in zip(doc_ids, ends - lengths, ends, strict=True):
-                row = (shard, chunk, doc_id, int(start), int(end - start), zlib.crc32(ids[start:end].tobytes()))
+                row = (shard, chunk, doc_id, int(start), int(end - start), zlib.crc32(ids[start:end]))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
         names = ["shard", "chunk", "id", "at", "n_tokens", "ids_crc32"]
